@@ -162,36 +162,47 @@ def init_attributes(files: DataFrame, limit: int = v.MAX_INIT_LINES) -> DataFram
     return rows.select(*KEYS, "class_line", "class_name", F.posexplode("attrs").alias("pos", "raw"))
 
 
-def _when_chosen(kind: str, limit: int) -> Column:
-    found = c.top_statements(F.col("facts"), kind, limit)
-    return F.when(F.size("chosen") > 0, found)
-
-
-def targets(files: DataFrame, limit: int = v.MAX_SCORE, metric: str = "cyclomatic") -> DataFrame:
-    """Functions over the limit with their text and file context, ready for a rewrite request.
+def targets(files: DataFrame, limit: int = v.MAX_SCORE) -> DataFrame:
+    """Functions over the limit, per metric, with their text and file context.
 
     The context is built inside the file's row and only for the functions kept, so file
     texts are neither shuffled nor copied per block.
     """
-    score = "total" if metric == "cyclomatic" else "cognitive"
-    kinds = ("def", "async") if metric == "cyclomatic" else ("def",)
+    closure = lambda b: F.coalesce(b["parent_kind"].isin("def", "async"), F.lit(False))
+    over = {
+        "cyclomatic": lambda b: b["kind"].isin("def", "async") & ~closure(b) & (b["total"] > limit),
+        "cognitive": lambda b: (b["kind"] == "def") & (b["cognitive"] > limit),
+    }
+    score = {"cyclomatic": "total", "cognitive": "cognitive"}
+
+    def chosen(metric: str) -> Column:
+        return F.transform(
+            F.filter("blocks", over[metric]),
+            lambda b: F.struct(
+                b["name"].alias("name"), b["line"].alias("block_line"),
+                b["start"].alias("start_line"), b["end"].alias("end_line"),
+                b["line"].alias("line"), b["parent_line"].alias("parent_line"),
+                b[score[metric]].alias("value"), F.lit(metric).alias("metric"),
+            ),
+        )
+
+    def statements(kind: str, most: int) -> Column:
+        return F.when(F.size("chosen") > 0, c.top_statements(F.col("facts"), kind, most))
+
     staged = (
         with_blocks(files)
-        .withColumn(
-            "chosen", F.filter("blocks", lambda b: b["kind"].isin(*kinds) & (b[score] > limit))
-        )
-        .withColumn("imports", _when_chosen("import", v.MAX_IMPORT_LINES))
-        .withColumn("constants", _when_chosen("constant", v.MAX_CONSTANT_LINES))
+        .withColumn("chosen", F.concat(chosen("cyclomatic"), chosen("cognitive")))
+        .withColumn("imports", statements("import", v.MAX_IMPORT_LINES))
+        .withColumn("constants", statements("constant", v.MAX_CONSTANT_LINES))
     )
     found = F.transform(
         "chosen",
         lambda b: F.struct(
-            b["name"].alias("name"), b["line"].alias("block_line"), b["start"].alias("start_line"),
-            b["end"].alias("end_line"), b[score].alias("value"), F.lit(metric).alias("metric"),
-            c.block_text(F.col("facts"), b["start"], b["end"]).alias("source"),
+            *[b[x].alias(x) for x in ("name", "block_line", "start_line", "end_line", "value", "metric")],
+            c.block_text(F.col("facts"), b["start_line"], b["end_line"]).alias("source"),
             c.file_context(
                 F.col("facts"), F.col("blocks"), b, F.col("imports"), F.col("constants")
             ).alias("context"),
         ),
     )
-    return staged.select(*KEYS, F.inline(found))
+    return staged.select(*KEYS, F.sha2("content", 256).alias("base_sha"), F.inline(found))

@@ -214,29 +214,36 @@ def siblings(blocks: DataFrame, limit: int = v.MAX_SIBLINGS) -> DataFrame:
 
 
 def revalidate(
-    proposals: DataFrame, metric: str, limit: int = v.MAX_SCORE, text: str = "new_text"
+    proposals: DataFrame, limit: int = v.MAX_SCORE, text: str = "new_text", metric: str = "metric"
 ) -> DataFrame:
     """Adds `scores` of every block in the new text and `ok`: all of them within the limit.
 
-    No block passes; a text whose brackets do not close fails with an error.
+    Each proposal is measured by the metric it names. No block passes; a text whose brackets
+    do not close fails with an error.
     """
-    if metric == "cyclomatic":
-        wanted = lambda b: ~F.coalesce(b["parent_kind"].isin("def", "async"), F.lit(False))
-        value = lambda b: F.when(b["kind"] == "class", b["own"]).otherwise(b["total"])
-    else:
-        wanted = lambda b: b["kind"].isin("def", "async")
-        value = lambda b: b["cognitive"]
-    kept = [F.col(x) for x in proposals.columns]
-    measured = ops.with_blocks(proposals.withColumn("content", F.col(text)))
-    found = F.transform(
-        F.filter("blocks", wanted),
-        lambda b: F.struct(b["name"].alias("name"), value(b).alias("value")),
-    )
+    by_metric = {
+        "cyclomatic": (
+            lambda b: ~F.coalesce(b["parent_kind"].isin("def", "async"), F.lit(False)),
+            lambda b: F.when(b["kind"] == "class", b["own"]).otherwise(b["total"]),
+        ),
+        "cognitive": (lambda b: b["kind"].isin("def", "async"), lambda b: b["cognitive"]),
+    }
+
+    def scored(name: str) -> Column:
+        wanted, value = by_metric[name]
+        return F.transform(
+            F.filter("blocks", wanted),
+            lambda b: F.struct(b["name"].alias("name"), value(b).alias("value")),
+        )
+
+    kept = [F.col(x) for x in proposals.columns if x not in ("scores", "ok", "error", "content")]
+    measured = ops.with_blocks(proposals.select(*kept, F.col(text).alias("content")))
+    found = F.when(F.col(metric) == "cyclomatic", scored("cyclomatic")).otherwise(scored("cognitive"))
     parsed = c.bracket_balance(F.col("facts")) == 0
     rows = measured.select(*kept, found.alias("scores"), parsed.alias("parsed"))
     return rows.select(
         *kept,
-        F.when(F.col("parsed"), F.col("scores")).otherwise(F.array().cast(rows.schema["scores"].dataType)).alias("scores"),
+        F.when(F.col("parsed"), F.col("scores")).otherwise(F.slice("scores", 1, 0)).alias("scores"),
         (F.col("parsed") & F.forall("scores", lambda s: s["value"] <= limit)).alias("ok"),
         F.when(~F.col("parsed"), "brackets do not close").alias("error"),
     )
@@ -289,16 +296,15 @@ def project_rollup(runs: DataFrame) -> DataFrame:
 def stop_on_error(runs: DataFrame) -> DataFrame:
     """Rows up to and including the run's first failure, and how many were not run.
 
-    The first failure is a minimum kept map-side; no run is sorted or held by one task.
+    The first failure is a minimum kept map-side; no run is sorted or held by one task, and
+    the join back is re-planned at run time (broadcast when small, split when skewed).
     """
     failed = F.when(~F.col("passed"), F.col("seq"))
-    first = runs.groupBy("run").agg(
-        F.min(failed).alias("first_failed"), F.count("*").alias("n")
-    )
-    ran = runs.join(broadcast_if_small(first), "run").filter(
+    first = runs.groupBy("run").agg(F.min(failed).alias("first_failed"))
+    ran = runs.join(first, "run").filter(
         F.col("first_failed").isNull() | (F.col("seq") <= F.col("first_failed"))
     )
-    return ran.drop("first_failed", "n")
+    return ran.drop("first_failed")
 
 
 def unrun_counts(runs: DataFrame) -> DataFrame:
@@ -307,6 +313,6 @@ def unrun_counts(runs: DataFrame) -> DataFrame:
         F.min(F.when(~F.col("passed"), F.col("seq"))).alias("first_failed")
     )
     late = F.col("first_failed").isNotNull() & (F.col("seq") > F.col("first_failed"))
-    return runs.join(broadcast_if_small(first), "run").groupBy("run").agg(
+    return runs.join(first, "run").groupBy("run").agg(
         F.count_if(late).alias("unrun")
     )

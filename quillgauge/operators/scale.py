@@ -57,7 +57,7 @@ def position(
     if not total:
         return df.withColumn(name, plain)
     # At most total/hot_rows groups are hot, so their keys are few by construction.
-    hot = F.broadcast(sizes.select(*keys))
+    hot = F.broadcast(durable(sizes.select(*keys)))
     cold = df.join(hot, keys, "left_anti").withColumn(name, plain)
     parts = int(total // hot_rows) * 2 + 2
     ranged = durable(
@@ -85,28 +85,14 @@ def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int, name: s
     return df.withColumn(name, rank).filter(F.col(name) <= n)
 
 
-def ordered_concat(
-    df: DataFrame, keys: list[str], pos: str, texts: list[str], chunk: int = 2000
-) -> DataFrame:
-    """Each text column joined by LF in `pos` order, in two steps.
-
-    `pos` counts from 1 inside a group. Runs of `chunk` rows are joined first, on many tasks
-    even for one group; the last step only puts the finished runs together.
-    """
-    run = F.floor((F.col(pos) - 1) / chunk).cast("bigint")
-    fields = [F.col(pos).alias("_p"), *[F.col(t) for t in texts]]
-    runs = (
-        df.withColumn("_run", run)
-        .groupBy(*keys, "_run")
-        .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_rows"))
-        .select(*keys, "_run", *[_joined("_rows", t).alias(t) for t in texts])
-    )
-    whole = runs.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("_run", *texts))).alias("_rows")
+def concat_rows(df: DataFrame, keys: list[str], pos: str, texts: list[str]) -> DataFrame:
+    """Each text column joined by LF in `pos` order; NULL where a group has no such text."""
+    grouped = df.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct(pos, *texts))).alias("_rows")
     )
-    return whole.select(*keys, *[_joined("_rows", t).alias(t) for t in texts])
 
+    def joined(field: str) -> Column:
+        text = F.array_join(F.transform("_rows", lambda r: r[field]), "\n")
+        return F.nullif(text, F.lit("")).alias(field)
 
-def _joined(rows: str, field: str) -> Column:
-    """LF-joined non-null fields of an array of structs; '' when there is none."""
-    return F.array_join(F.transform(rows, lambda r: r[field]), "\n")
+    return grouped.select(*keys, *[joined(t) for t in texts])
