@@ -62,8 +62,8 @@ deep AS (SELECT *, coalesce(sum(CASE WHEN kind IN ('code', 'multi') THEN delta E
 
 def raw_select(keys: str) -> str:
     return f"""raw_counts AS (SELECT {keys}, count(ln) AS loc,
-    coalesce(sum(CASE WHEN kind = 'code' THEN CASE WHEN depth <= 0 AND NOT cont THEN 1 ELSE 0 END
-      + {count_of('code', ';')} ELSE 0 END), 0) AS lloc,
+    CAST(coalesce(sum(CASE WHEN kind = 'code' THEN CASE WHEN depth <= 0 AND NOT cont THEN 1 ELSE 0 END
+      + {count_of('code', ';')} ELSE 0 END), 0) AS BIGINT) AS lloc,
     count(*) FILTER (WHERE kind = 'code') AS sloc, count(*) FILTER (WHERE contains(code, '#')) AS comments,
     count(*) FILTER (WHERE kind = 'comment') AS comment_only, count(*) FILTER (WHERE kind = 'blank') AS blank,
     count(*) FILTER (WHERE kind = 'multi') AS multi
@@ -120,8 +120,8 @@ nested AS (SELECT s.path, s.ln, count(*) AS n FROM spans s JOIN controls c ON c.
 bool_runs AS (SELECT s.path, s.ln, sum(r.runs) AS n FROM spans s JOIN run_counts r ON r.path = s.path AND r.ln >= s.ln AND r.ln < s.closer
     GROUP BY s.path, s.ln),
 blocks AS (SELECT s.project, s.path, s.name, s.bkind AS kind, s.ln AS block_line, st.start_line, e.end_line, p.parent_line,
-    pk.bkind AS parent_kind, o.own, t.total,
-    coalesce(c.n, 0) + coalesce(n.n, 0) + coalesce(b.n, 0) AS cognitive
+    pk.bkind AS parent_kind, CAST(o.own AS BIGINT) AS own, CAST(t.total AS BIGINT) AS total,
+    CAST(coalesce(c.n, 0) + coalesce(n.n, 0) + coalesce(b.n, 0) AS BIGINT) AS cognitive
   FROM spans s JOIN ends e USING (path, ln) JOIN starts st USING (path, ln) JOIN parents p USING (path, ln)
   LEFT JOIN heads0 pk ON pk.path = s.path AND pk.ln = p.parent_line
   JOIN owns o ON o.path = s.path AND o.ln = s.ln JOIN totals t ON t.path = s.path AND t.ln = s.ln

@@ -98,13 +98,14 @@ def proposals(spark: SparkSession, sf: str) -> DataFrame:
     """A replacement for every ninth-line function; every fourth was made from other content."""
     files = inputs.files(spark, sf)
     sha = F.sha2("content", 256)
-    blocks = code.with_blocks(files.withColumn("sha", sha)).select(*KEYS, "sha", F.inline("blocks"))
+    wanted = F.filter("blocks", lambda b: b["kind"].isin("def", "async") & (b["line"] % 9 == 0))
+    blocks = code.with_blocks(files.withColumn("sha", sha)).select(*KEYS, "sha", F.inline(wanted))
     indent = F.when(F.col("parent_line").isNull(), "").otherwise("    ")
     new = F.concat(
         F.lit("def helper(x):\n    if x and x:\n        return x\n\ndef "), F.col("name"),
         F.lit("(self):\n    return helper(self)"),
     )
-    return blocks.filter(F.col("kind").isin("def", "async") & (F.col("line") % 9 == 0)).select(
+    return blocks.select(
         *KEYS, "name", F.col("line").alias("block_line"), F.col("start").alias("start_line"),
         F.col("end").alias("end_line"),
         F.when(F.col("line") % 4 == 0, F.sha2(F.col("path"), 256)).otherwise(F.col("sha")).alias("base_sha"),
@@ -146,7 +147,9 @@ def q_raw_files(spark, sf):
 
 
 def q_lines(spark, sf):
-    return code.lines(inputs.files(spark, sf)).withColumn("line_no", _big("line_no"))
+    return code.lines(inputs.files(spark, sf)).withColumns(
+        {"line_no": _big("line_no"), "indent": _big("indent")}
+    )
 
 
 def q_tokens(spark, sf):

@@ -36,17 +36,15 @@ def with_blocks(files: DataFrame) -> DataFrame:
 
 def lines(files: DataFrame) -> DataFrame:
     """One row per line: number, raw text, blanked code, indent and line flags."""
-    rows = with_facts(files).select(*KEYS, F.inline("facts"))
-    return rows.select(
-        *KEYS,
-        F.col("ln").alias("line_no"),
-        "raw",
-        "code",
-        "indent",
-        (F.col("kind") == "blank").alias("is_blank"),
-        (F.col("kind") == "comment").alias("is_comment"),
-        (F.col("kind") == "multi").alias("is_multi"),
+    shown = F.transform(
+        "facts",
+        lambda x: F.struct(
+            x["ln"].alias("line_no"), x["raw"].alias("raw"), x["code"].alias("code"),
+            x["indent"].alias("indent"),
+            *[(x["kind"] == k).alias(f"is_{k}") for k in ("blank", "comment", "multi")],
+        ),
     )
+    return with_facts(files).select(*KEYS, F.inline(shown))
 
 
 def tokens(texts: DataFrame, keys: list[str], text: str = "content") -> DataFrame:
@@ -96,21 +94,20 @@ def maintainability(files: DataFrame, count_multi: bool = True) -> DataFrame:
 
 
 def blocks(files: DataFrame) -> DataFrame:
-    """One row per function and class: place, parent and its own, total and cognitive scores."""
-    rows = with_blocks(files).select(*KEYS, F.inline("blocks"))
-    return rows.select(
-        *KEYS,
-        "name",
-        "kind",
-        F.col("line").alias("block_line"),
-        F.col("start").alias("start_line"),
-        F.col("end").alias("end_line"),
-        "parent_line",
-        "parent_kind",
-        "own",
-        "total",
-        "cognitive",
+    """One row per function and class: place, parent and its own, total and cognitive scores.
+
+    The generator takes an expression, not the bare array column: for a column Spark would
+    add a filter on its size, push it below, and run the whole block scan once more for it.
+    """
+    shown = F.transform(
+        "blocks",
+        lambda b: F.struct(
+            b["name"].alias("name"), b["kind"].alias("kind"), b["line"].alias("block_line"),
+            b["start"].alias("start_line"), b["end"].alias("end_line"),
+            *[b[x].alias(x) for x in ("parent_line", "parent_kind", "own", "total", "cognitive")],
+        ),
     )
+    return with_blocks(files).select(*KEYS, F.inline(shown))
 
 
 def cyclomatic(blocks: DataFrame) -> DataFrame:
