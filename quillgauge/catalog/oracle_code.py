@@ -20,8 +20,11 @@ def words(items: list[str]) -> str:
 
 BREAKS = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 WHITE = "concat(chr(9), chr(10), chr(11), chr(12), chr(13), chr(28), chr(29), chr(30), chr(31), ' ', chr(133), chr(160))"
-TRIPLE = r'"""[^"]*(?:"{1,2}[^"]+)*"""' + "|" + r"'''[^']*(?:'{1,2}[^']+)*'''"
-QUOTED = r'"[^"\n]*"' + "|" + r"'[^'\n]*'"
+TRIPLE = (
+    r'"""(?:[^"\\]|\\[\s\S]|"{1,2}(?:[^"\\]|\\[\s\S]))*"""' + "|"
+    + r"'''(?:[^'\\]|\\[\s\S]|'{1,2}(?:[^'\\]|\\[\s\S]))*'''"
+)
+QUOTED = r'"(?:[^"\\\n]|\\[\s\S])*"' + "|" + r"'(?:[^'\\\n]|\\[\s\S])*'"
 SEGMENT = "|".join([TRIPLE, QUOTED, r"#[^\n]*", r"""[^"'#]+""", r"""["']"""])
 TOKEN = "|".join(
     [TRIPLE, QUOTED, r"#[^\n]*", r"[\p{L}_][\p{L}\p{N}_]*", r"\p{N}+", r"[^\s\p{L}\p{N}_]"]
@@ -38,13 +41,13 @@ def count_of(x: str, chars: str) -> str:
 
 
 def texts_cte(source: str, keys: str, text: str) -> str:
-    masked = f"regexp_replace(text, {q(chr(92) * 2 + '([' + chr(92) * 2 + chr(34) + chr(39) + '])')}, '__', 'g')"
+    quoted = f"(s LIKE {q(chr(34) + '%')} OR s LIKE {q(chr(39) + '%')})"
+    long = f"(s LIKE {q(chr(34) * 3 + '%')} OR s LIKE {q(chr(39) * 3 + '%')} OR contains(s, chr(10)))"
     return f"""texts AS (SELECT {keys}, regexp_replace({text}, {q(BREAKS)}, chr(10), 'g') AS text FROM {source}),
-coded AS (SELECT *, {masked} AS masked FROM texts),
-blanked AS (SELECT *, array_to_string(list_transform(regexp_extract_all(masked, {q(SEGMENT)}), lambda s: CASE
-    WHEN s LIKE {q('"""%')} OR s LIKE {q("'''%")} THEN regexp_replace(s, '[^\\n]+', chr(1), 'g')
-    WHEN (s LIKE {q('"%')} OR s LIKE {q("'%")}) AND length(s) > 1 THEN {q('""')}
-    WHEN s LIKE '#%' THEN '#' ELSE s END), '') AS code FROM coded)"""
+blanked AS (SELECT *, replace(array_to_string(list_transform(regexp_extract_all(text, {q(SEGMENT)}), lambda s: CASE
+    WHEN {quoted} AND {long} THEN regexp_replace(s, '[^\\n]+', chr(1), 'g')
+    WHEN {quoted} AND length(s) > 1 THEN {q('""')}
+    WHEN s LIKE '#%' THEN '#' ELSE s END), ''), concat(chr(92), chr(10)), concat(chr(92), chr(10), chr(1))) AS code FROM texts)"""
 
 
 def facts_cte(keys: str) -> str:
@@ -71,8 +74,8 @@ def raw_select(keys: str) -> str:
 
 
 def tokens_cte(keys: str) -> str:
-    return f"""toks AS (SELECT {keys}, unnest(list_filter(regexp_extract_all(masked, {q(TOKEN)}), lambda t: t NOT LIKE '#%')) AS token,
-    generate_subscripts(list_filter(regexp_extract_all(masked, {q(TOKEN)}), lambda t: t NOT LIKE '#%'), 1) - 1 AS pos FROM coded),
+    return f"""toks AS (SELECT {keys}, unnest(list_filter(regexp_extract_all(text, {q(TOKEN)}), lambda t: t NOT LIKE '#%')) AS token,
+    generate_subscripts(list_filter(regexp_extract_all(text, {q(TOKEN)}), lambda t: t NOT LIKE '#%'), 1) - 1 AS pos FROM texts),
 typed AS (SELECT *, (regexp_matches(token, '^[\\p{{L}}\\p{{N}}_]') AND token NOT IN {words(v.KEYWORDS)})
     OR ((token LIKE {q('"%')} OR token LIKE {q("'%")}) AND length(token) > 1) AS is_operand FROM toks),
 hal0 AS (SELECT {keys}, count(DISTINCT token) FILTER (WHERE NOT is_operand) AS h1, count(DISTINCT token) FILTER (WHERE is_operand) AS h2,

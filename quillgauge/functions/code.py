@@ -19,9 +19,10 @@ TEXT_MARK = "\x01"  # stands for triple-quoted text in blanked code
 # The loops are possessive or over one character class: Java runs those without recursion,
 # so a very long string or line cannot overflow a task's stack.
 _TRIPLE = (
-    r'"""[^"]*+(?:"{1,2}[^"]++)*+"""' + "|" + r"'''[^']*+(?:'{1,2}[^']++)*+'''"
+    r'"""(?:[^"\\]++|\\[\s\S]|"{1,2}+(?:[^"\\]|\\[\s\S]))*+"""' + "|"
+    + r"'''(?:[^'\\]++|\\[\s\S]|'{1,2}+(?:[^'\\]|\\[\s\S]))*+'''"
 )
-_QUOTED = r'"[^"\n]*"' + "|" + r"'[^'\n]*'"
+_QUOTED = r'"(?:[^"\\\n]++|\\[\s\S])*+"' + "|" + r"'(?:[^'\\\n]++|\\[\s\S])*+'"
 _SEGMENT = "|".join([_TRIPLE, _QUOTED, r"#[^\n]*", r"""[^"'#]+""", r"""["']"""])
 _TOKEN = "|".join(
     [_TRIPLE, _QUOTED, r"#[^\n]*", r"[\p{L}_][\p{L}\p{N}_]*", r"\p{N}+", r"[^\s\p{L}\p{N}_]"]
@@ -34,32 +35,26 @@ def normalize_breaks(content: Column) -> Column:
     return F.regexp_replace(content, LINE_BREAK, "\n")
 
 
-def _mask_escapes(text: Column) -> Column:
-    """Escaped quotes and backslashes become neutral characters of the same length."""
-    return F.regexp_replace(text, r"""\\([\\"'])""", "__")
-
-
 def blank_text(text: Column) -> Column:
     """Strings and comments blanked, line structure kept.
 
-    A quoted string becomes an empty one, a comment its mark, and every line of
-    triple-quoted text becomes TEXT_MARK.
+    A quoted string becomes an empty one and a comment its mark. Every line of a string over
+    several lines becomes TEXT_MARK, and a line continued by a backslash starts with one.
     """
 
     def blank(s: Column) -> Column:
+        quoted = s.startswith('"') | s.startswith("'")
+        long = s.startswith('"""') | s.startswith("'''") | F.contains(s, F.lit("\n"))
         return (
-            F.when(
-                s.startswith('"""') | s.startswith("'''"),
-                F.regexp_replace(s, r"[^\n]+", TEXT_MARK),
-            )
-            .when(s.startswith('"') & (F.length(s) > 1), '""')
-            .when(s.startswith("'") & (F.length(s) > 1), '""')
+            F.when(quoted & long, F.regexp_replace(s, r"[^\n]+", TEXT_MARK))
+            .when(quoted & (F.length(s) > 1), '""')
             .when(s.startswith("#"), "#")
             .otherwise(s)
         )
 
-    segments = F.regexp_extract_all(_mask_escapes(text), F.lit(_SEGMENT), F.lit(0))
-    return F.array_join(F.transform(segments, blank), "")
+    segments = F.regexp_extract_all(text, F.lit(_SEGMENT), F.lit(0))
+    code = F.array_join(F.transform(segments, blank), "")
+    return F.replace(code, F.lit("\\\n"), F.lit("\\\n" + TEXT_MARK))
 
 
 def raw_lines(text: Column) -> Column:
@@ -141,7 +136,7 @@ def raw_counts(facts: Column) -> Column:
 
 def tokens_of(text: Column) -> Column:
     """Tokens in order; comments are dropped, a string is one token."""
-    found = F.regexp_extract_all(_mask_escapes(text), F.lit(_TOKEN), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
     return F.filter(found, lambda t: ~t.startswith("#"))
 
 

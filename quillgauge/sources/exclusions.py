@@ -34,7 +34,7 @@ def read_exclusions(spark: SparkSession, path: str | None) -> DataFrame:
         return spark.createDataFrame([], ROWS)
     lists = spark.read.schema(SCHEMA).option("multiLine", True).json(path)
     # The file is one JSON object, hence one row.
-    if lists.filter(F.col("_corrupt_record").isNotNull()).limit(1).count():
+    if lists.filter(F.col("_corrupt_record").isNotNull()).take(1):
         logging.getLogger(__name__).warning("could not load exclusions from %s", path)
         return spark.createDataFrame([], ROWS)
     return exclusion_rows(lists)
