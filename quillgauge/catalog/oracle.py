@@ -286,13 +286,10 @@ HAL = """h1, h2, N1x AS n1_total, N2x AS n2_total, round(volume, 3) AS volume, r
   round(volume * difficulty, 1) AS effort"""
 
 
-def mi(multi: bool) -> str:
-    remarks = "comments + multi" if multi else "comments"
-    return f"""SELECT project, path, {str(multi).upper()} AS multi, score, sloc, round(volume, 3) AS volume,
-    round(CASE WHEN volume <= 0 OR sloc <= 0 THEN 100.0 ELSE greatest(0.0, least(100.0, (171.0 - 5.2 * ln(CASE WHEN volume > 0 THEN volume ELSE 1 END)
+def mi(remarks: str) -> str:
+    return f"""round(CASE WHEN volume <= 0 OR sloc <= 0 THEN 100.0 ELSE greatest(0.0, least(100.0, (171.0 - 5.2 * ln(CASE WHEN volume > 0 THEN volume ELSE 1 END)
       - 0.23 * score - 16.2 * ln(CASE WHEN sloc > 0 THEN sloc ELSE 1 END) + 50.0 * sin(sqrt(2.4 * CASE WHEN loc > 0 THEN ({remarks}) / loc ELSE 0 END)))
-      * (100.0 / 171.0))) END, 4) AS mi
-  FROM raw_counts JOIN hal USING (project, path) JOIN sums USING (project, path)"""
+      * (100.0 / 171.0))) END, 4)"""
 
 
 def numbered_prompt(reason: str) -> str:
@@ -317,7 +314,8 @@ ORACLE: dict[str, str] = {
     "q_halstead_files": f"WITH {FILE_TOKENS} SELECT project, path, {HAL} FROM hal",
     "q_maintainability": f"""WITH {FILE_BLOCKS}, {raw_select('project, path')}, {tokens_cte('project, path')},
       sums AS (SELECT f.project, f.path, CAST(coalesce(sum(own), 0) AS BIGINT) AS score FROM files f LEFT JOIN blocks b ON b.path = f.path GROUP BY ALL)
-      {mi(True)} UNION ALL {mi(False)}""",
+      SELECT project, path, score, sloc, round(volume, 3) AS volume, {mi('comments + multi')} AS mi, {mi('comments')} AS mi_plain
+      FROM raw_counts JOIN hal USING (project, path) JOIN sums USING (project, path)""",
     "q_blocks": f"WITH {FILE_BLOCKS} SELECT * FROM blocks",
     "q_cyclomatic": f"WITH {FILE_SCORES} SELECT * FROM scored WHERE metric = 'cyclomatic'",
     "q_cognitive": f"WITH {FILE_SCORES} SELECT * FROM scored WHERE metric = 'cognitive'",
@@ -333,9 +331,8 @@ ORACLE: dict[str, str] = {
     "q_text_paths": f"WITH {CHANGES} SELECT repo, path, {parent('path')} AS parent, {top('path')} AS top FROM changes WHERE {text_path('path')}",
     "q_located": f"""WITH {FILE_SCORES} SELECT project, path, name, block_line, value, kind <> 'class' AS located FROM scored
       WHERE metric = 'cyclomatic' AND value > 3""",
-    "q_block_lines": f"""WITH {FILE_SCORES} SELECT b.project, b.path, b.name, b.block_line, d.ln AS line_no, d.raw FROM scored s
-      JOIN blocks b USING (path, block_line) JOIN deep d ON d.path = b.path AND d.ln BETWEEN b.start_line AND b.end_line
-      WHERE s.metric = 'cyclomatic' AND s.value > {v.MAX_SCORE} AND s.kind <> 'class'""",
+    "q_block_lines": f"""WITH {FILE_BLOCKS} SELECT b.project, b.path, b.name, b.block_line, d.ln AS line_no, d.raw FROM blocks b
+      JOIN deep d ON d.path = b.path AND d.ln BETWEEN b.start_line AND b.end_line WHERE b.total > {v.MAX_SCORE} AND b.kind <> 'class'""",
     "q_with_class": f"""WITH {FILE_BLOCKS} SELECT b.project, b.path, b.name, b.block_line, k.name AS class_name FROM blocks b
       LEFT JOIN blocks k ON k.path = b.path AND k.block_line = b.parent_line AND k.kind = 'class' WHERE b.kind <> 'class'""",
     "q_siblings": f"""WITH {FILE_BLOCKS}, m AS (SELECT * FROM blocks WHERE kind <> 'class' AND parent_kind = 'class')

@@ -175,12 +175,10 @@ def _rounded(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def q_maintainability(spark, sf):
-    files = inputs.files(spark, sf)
-    both = code.maintainability(files).withColumn("multi", F.lit(True)).unionByName(
-        code.maintainability(files, count_multi=False).withColumn("multi", F.lit(False))
-    )
-    return both.select(
-        *KEYS, "multi", "score", "sloc", F.round("volume", 3).alias("volume"), F.round("mi", 4).alias("mi")
+    return code.maintainability_inputs(inputs.files(spark, sf)).select(
+        *KEYS, "score", F.col("raw.sloc").alias("sloc"), F.round("hal.volume", 3).alias("volume"),
+        F.round(code.maintainability_index(), 4).alias("mi"),
+        F.round(code.maintainability_index(False), 4).alias("mi_plain"),
     )
 
 
@@ -241,9 +239,8 @@ def q_located(spark, sf):
 
 def q_block_lines(spark, sf):
     files = inputs.files(spark, sf)
-    blocks = code.blocks(files)
-    found, _ = gate.locate(gate.over_limit(code.cyclomatic(blocks)), blocks)
-    return gate.block_lines(found, code.lines(files))
+    worst = code.blocks(files).filter(F.col("kind").isin("def", "async") & (F.col("total") > 15))
+    return gate.block_lines(worst, code.lines(files))
 
 
 def q_with_class(spark, sf):

@@ -65,9 +65,9 @@ def halstead(texts: DataFrame, keys: list[str] = KEYS, text: str = "content") ->
     return rows.select(*keys, c.halstead_of(F.col("tokens")).alias("m")).select(*keys, "m.*")
 
 
-def maintainability(files: DataFrame, count_multi: bool = True) -> DataFrame:
-    """One score per file; `count_multi` counts triple-quoted lines as remarks too."""
-    rows = (
+def maintainability_inputs(files: DataFrame) -> DataFrame:
+    """Line counts (`raw`), Halstead measures (`hal`) and summed block score of each file."""
+    return (
         with_facts(files)
         .withColumn("fold", c.fold_input(F.col("facts")))
         .withColumn("found", c.block_scan("fold"))
@@ -81,15 +81,21 @@ def maintainability(files: DataFrame, count_multi: bool = True) -> DataFrame:
             ).alias("score"),
         )
     )
+
+
+def maintainability_index(count_multi: bool = True) -> Column:
+    """Score over `maintainability_inputs`; `count_multi` counts triple-quoted lines as remarks."""
     remarks = F.col("raw.comments") + (F.col("raw.multi") if count_multi else F.lit(0))
-    return rows.select(
-        *KEYS,
-        F.col("hal.volume").alias("volume"),
-        "score",
-        F.col("raw.sloc").alias("sloc"),
-        c.maintainability_of(
-            F.col("hal.volume"), F.col("score"), F.col("raw.sloc"), F.col("raw.loc"), remarks
-        ).alias("mi"),
+    return c.maintainability_of(
+        F.col("hal.volume"), F.col("score"), F.col("raw.sloc"), F.col("raw.loc"), remarks
+    )
+
+
+def maintainability(files: DataFrame, count_multi: bool = True) -> DataFrame:
+    """One score per file; its three parts are taken from the file's row, without a join."""
+    return maintainability_inputs(files).select(
+        *KEYS, F.col("hal.volume").alias("volume"), "score", F.col("raw.sloc").alias("sloc"),
+        maintainability_index(count_multi).alias("mi"),
     )
 
 

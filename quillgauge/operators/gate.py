@@ -253,19 +253,23 @@ def revalidate(
 
 
 def gate_summary(projects: DataFrame, violations: DataFrame) -> DataFrame:
-    """Violations per project and metric, zeros shown, with the project's exit status."""
-    metrics = F.explode(F.array(F.lit("cyclomatic"), F.lit("cognitive")))
-    every = projects.select("project").distinct().select("project", metrics.alias("metric"))
-    counts = violations.groupBy("project", "metric").agg(F.count("*").alias("n"))
-    failed = violations.select("project").distinct().withColumn("exit", F.lit(1))
-    return (
-        every.join(counts, ["project", "metric"], "left")
-        .join(failed, "project", "left")
-        .select(
-            "project", "metric", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_violations"),
-            F.coalesce("exit", F.lit(0)).alias("exit_status"),
-        )
+    """Violations per project and metric, zeros shown, with the project's exit status.
+
+    Both counts come from one aggregation, so the violations are derived once.
+    """
+    names = ("cyclomatic", "cognitive")
+    counts = violations.groupBy("project").agg(
+        *[F.count_if(F.col("metric") == n).alias(n) for n in names]
     )
+    every = projects.select("project").distinct().join(counts, "project", "left")
+    shown = F.array(*[
+        F.struct(F.lit(n).alias("metric"), F.coalesce(n, F.lit(0)).cast("bigint").alias("n_violations"))
+        for n in names
+    ])
+    failed = sum((F.coalesce(n, F.lit(0)) for n in names), F.lit(0)) > 0
+    return every.select(
+        "project", F.when(failed, 1).otherwise(0).alias("exit_status"), F.inline(shown)
+    ).select("project", "metric", "n_violations", "exit_status")
 
 
 def project_status(runs: DataFrame) -> DataFrame:

@@ -28,9 +28,9 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Whether the table stays under both bounds, by reading at most `max_rows` + 1 rows."""
+    """Whether the table stays under both bounds; counted where the rows are."""
     width = F.octet_length(F.to_json(F.struct("*")))
-    seen = df.limit(max_rows + 1).agg(
+    seen = df.agg(
         F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("size")
     ).first()
     return seen["n"] <= max_rows and seen["size"] <= max_bytes
@@ -80,7 +80,14 @@ def position(
 
 
 def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int, name: str = "pos") -> DataFrame:
-    """First `n` rows per group; Spark drops the others before the shuffle."""
+    """First `n` rows per group; Spark drops the others before the shuffle.
+
+    Spark does so up to a limit it takes from the session, which is raised to `n` if need be:
+    without it a large group would be shuffled whole to one task just to be cut there.
+    """
+    conf, name_of_limit = df.sparkSession.conf, "spark.sql.optimizer.windowGroupLimitThreshold"
+    if n > int(conf.get(name_of_limit, "1000")):
+        conf.set(name_of_limit, str(n))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn(name, rank).filter(F.col(name) <= n)
 
