@@ -8,10 +8,13 @@ inputs grow with the tables and stay as spread out as they are.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+from quillgauge.operators.scale import ensure_checkpoint_dir
 from quillgauge.sources.layout import spread
 
 
@@ -160,3 +163,22 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derived(spark, sf_dir, "conversations", attempts_sql(SPARK))
+
+
+def written_tree(spark: SparkSession, sf_dir: str) -> str:
+    """The source files written as real files, by the tasks, below the shared folder."""
+    ensure_checkpoint_dir(spark)
+    root = f"{spark.sparkContext.getCheckpointDir().removeprefix('file:')}/tree-{uuid.uuid4().hex}"
+
+    def write(batches):
+        system, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                system.create_dir(f"{base}/{path}".rsplit("/", 1)[0])
+                with system.open_output_stream(f"{base}/{path}") as out:
+                    out.write(content.encode())
+            yield batch[["path"]]
+
+    written = files(spark, sf_dir).select("path", "content").mapInPandas(write, "path STRING")
+    written.write.format("noop").mode("overwrite").save()
+    return root

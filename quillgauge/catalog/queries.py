@@ -14,7 +14,7 @@ from quillgauge.operators.scale import durable, first_n
 from quillgauge.plans import generate as gen
 from quillgauge.plans import rewrite as rewriting
 from quillgauge.plans import summarize
-from quillgauge.sources import changelog, exclusions, report
+from quillgauge.sources import changelog, exclusions, report, tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 KEYS = ["project", "path"]
@@ -137,6 +137,11 @@ def stub(prompt: str, system: str) -> str:
 # --- code -------------------------------------------------------------------------------
 
 
+def q_tree_scan(spark, sf):
+    found = tree.read_source_tree(spark, inputs.written_tree(spark, sf), project="written")
+    return found.select("project", "path", F.sha2("content", 256).alias("sha"), "error").orderBy("path")
+
+
 def q_raw_lines(spark, sf):
     docs = inputs.table(spark, sf, "documents")
     return code.raw_metrics(docs, ["doc_id"], "text")

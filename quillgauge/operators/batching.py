@@ -62,21 +62,16 @@ def assign_batches(
     """Adds `batch_id`, `batch_n` and `batch_pos`: contiguous, directory-local, equal batches.
 
     Everything follows by arithmetic from a row's position and its repository's size, so the
-    position is the only ordered step.
+    position is the only ordered step and nothing is joined back.
     """
-    sizes = changes.groupBy("repo").agg(F.count("*").alias("_n"))
-    wanted = F.ceil(F.col("_n") / max_files)
-    count = F.greatest(F.lit(1), F.least(wanted, F.lit(max_batches)))
-    placed = position(changes, ["repo"], directory_order(), "_pos", hot_rows).join(
-        sizes.withColumn("_size", F.ceil(F.col("_n") / count)), "repo"
-    )
-    batch = F.floor((F.col("_pos") - 1) / F.col("_size")).cast("bigint")
+    n = F.col("_n")
+    count = F.greatest(F.lit(1), F.least(F.ceil(n / max_files), F.lit(max_batches)))
+    placed = position(changes, ["repo"], directory_order(), "_pos", hot_rows, size="_n")
     return (
-        placed.withColumn("batch_id", batch)
+        placed.withColumn("_size", F.ceil(n / count))
+        .withColumn("batch_id", F.floor((F.col("_pos") - 1) / F.col("_size")).cast("bigint"))
         .withColumn("batch_pos", F.col("_pos") - F.col("batch_id") * F.col("_size"))
-        .withColumn(
-            "batch_n", F.least(F.col("_size"), F.col("_n") - F.col("batch_id") * F.col("_size"))
-        )
+        .withColumn("batch_n", F.least(F.col("_size"), n - F.col("batch_id") * F.col("_size")))
         .drop("_n", "_size", "_pos")
     )
 

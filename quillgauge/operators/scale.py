@@ -43,32 +43,42 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
 
 def position(
     df: DataFrame, keys: list[str], order: list[Column], name: str = "pos",
-    hot_rows: int = HOT_GROUP_ROWS,
+    hot_rows: int = HOT_GROUP_ROWS, size: str | None = None,
 ) -> DataFrame:
-    """1-based position of each row in its group; `order` must be unique in a group.
+    """1-based position of each row in its group, and the group's `size` if it is named.
 
-    Groups over `hot_rows` rows are found by a count first. Their rows are spread by ranges
-    of the order, counted per range, and numbered inside each range from the range's offset,
-    so no task ever holds such a group. All other groups take a plain window.
+    `order` must be unique in a group. Groups over `hot_rows` rows are found by a count first.
+    Their rows are spread by ranges of the order, counted per range, and numbered inside each
+    range from the range's offset, so no task ever holds such a group. All other groups take
+    a plain window.
     """
-    plain = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows)
+    group = Window.partitionBy(*keys)
+
+    def plain(rows: DataFrame) -> DataFrame:
+        ranked = rows.withColumn(name, F.row_number().over(group.orderBy(*order)).cast("bigint"))
+        return ranked.withColumn(size, F.count("*").over(group)) if size else ranked
+
+    counted = F.count("*").alias("_n")
+    sizes = df.groupBy(*keys).agg(counted).filter(F.col("_n") > hot_rows)
     total = sizes.agg(F.sum("_n").alias("n")).first()["n"]
     if not total:
-        return df.withColumn(name, plain)
+        return plain(df)
     # At most total/hot_rows groups are hot, so their keys are few by construction.
-    hot = F.broadcast(durable(sizes.select(*keys)))
-    cold = df.join(hot, keys, "left_anti").withColumn(name, plain)
+    hot = durable(sizes)
+    cold = plain(df.join(F.broadcast(hot.select(*keys)), keys, "left_anti"))
     parts = int(total // hot_rows) * 2 + 2
     ranged = durable(
-        df.join(hot, keys, "left_semi")
+        df.join(F.broadcast(hot.select(*keys)), keys, "left_semi")
         .repartitionByRange(parts, *[F.col(k) for k in keys], *order)
         .withColumn("_range", F.spark_partition_id())
     )
-    counts = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        *keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
+    before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range that a hot group touches.
+    offsets = (
+        ranged.groupBy(*keys, "_range").agg(counted)
+        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .drop("_n")
+        .join(F.broadcast(hot.withColumnRenamed("_n", "_size")), keys)
     )
     inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
     numbered = (
@@ -76,6 +86,8 @@ def position(
         .join(F.broadcast(offsets), [*keys, "_range"])
         .withColumn(name, F.col("_in") + F.col("_offset"))
     )
+    if size:
+        numbered = numbered.withColumn(size, F.col("_size"))
     return cold.unionByName(numbered.select(*cold.columns))
 
 
