@@ -64,11 +64,23 @@ def raw_lines(text: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), n - 1)).otherwise(parts)
 
 
+def _word(options: list[str]) -> str:
+    """One of the words, not as a part of a longer name; the first letter is tested first."""
+    first = "".join(sorted({w[0] for w in options}))
+    return rf"(?=[{first}])(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(options)})(?![\p{{L}}\p{{N}}_])"
+
+
+_DECISION = _word(v.DECISION_WORDS)
+_MARK = r"[(\[{}\]);#]|" + _DECISION
+_LEADING = r"^\s*(?:@|" + _word([*v.CONTROL_WORDS, "def", "class", "async"]) + ")"
+
+
 def line_facts(text: Column, code: Column) -> Column:
     """ARRAY<STRUCT> with one element per line.
 
     `kind` is blank, comment, multi or code; `cont` marks a line that starts inside
-    triple-quoted text; `delta` is opened minus closed brackets; `semis` counts `;`.
+    triple-quoted text; `delta` is opened minus closed brackets; `semis` counts `;`;
+    `decisions` are the line's decision words in order.
     """
     raws = raw_lines(text)
     # Both texts have the same line breaks; a final one opens no further line.
@@ -81,7 +93,7 @@ def line_facts(text: Column, code: Column) -> Column:
         return F.struct(
             (i + 1).alias("ln"), x["raw"].alias("raw"), x["code"].alias("code"),
             lstrip(x["raw"]).alias("lead"), lstrip(x["code"]).alias("body"),
-            F.regexp_extract_all(x["code"], F.lit(r"[(\[{}\]);#]"), F.lit(0)).alias("marks"),
+            F.regexp_extract_all(x["code"], F.lit(_MARK), F.lit(0)).alias("marks"),
         )
 
     def fact(x: Column) -> Column:
@@ -101,6 +113,7 @@ def line_facts(text: Column, code: Column) -> Column:
             x["body"].startswith(TEXT_MARK).alias("cont"),
             (n("(", "[", "{") - n(")", "]", "}")).alias("delta"), n(";").alias("semis"),
             (n("#") > 0).alias("noted"),
+            F.filter(x["marks"], lambda m: m.isin(v.DECISION_WORDS)).alias("decisions"),
         )
 
     return F.transform(F.transform(paired, stage), fact)
@@ -190,15 +203,6 @@ def maintainability_of(
 # --- blocks -----------------------------------------------------------------------------
 
 
-def _word(options: list[str]) -> str:
-    """One of the words, not as a part of a longer name."""
-    return rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(options)})(?![\p{{L}}\p{{N}}_])"
-
-
-_DECISION = _word(v.DECISION_WORDS)
-_LEADING = r"^\s*(?:@|" + _word([*v.CONTROL_WORDS, "def", "class", "async"]) + ")"
-
-
 def fold_input(facts: Column) -> Column:
     """What the block scan needs of each code or text line."""
 
@@ -206,7 +210,7 @@ def fold_input(facts: Column) -> Column:
         return F.struct(
             x["ln"].alias("ln"), x["indent"].alias("indent"), x["cont"].alias("cont"),
             x["delta"].alias("delta"), x["code"].alias("code"),
-            F.regexp_extract_all(x["code"], F.lit(_DECISION), F.lit(0)).alias("decisions"),
+            x["decisions"].alias("decisions"),
             lstrip(F.regexp_extract(x["code"], _LEADING, 0)).alias("leading"),
         )
 
