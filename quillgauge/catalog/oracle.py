@@ -305,7 +305,7 @@ FEEDBACK = f"""concat('Function `', name, '` still has ', metric, ' complexity '
 SUMMARY_LINE = strip(f"rtrim({strip(unbullet(first_line('(' + normalized('raw') + ')')))}, '.')")
 
 ORACLE: dict[str, str] = {
-    "q_tree_scan": f"""WITH {FILES} SELECT 'written' AS project, substring(path, 5) AS path, sha256(content) AS sha, CAST(NULL AS STRING) AS error FROM files
+    "q_tree_scan": f"""WITH {FILES} SELECT 'written' AS project, path, sha256(content) AS sha, CAST(NULL AS STRING) AS error FROM files
       WHERE NOT list_has_any(string_split(path, '/'), {list(v.IGNORED_SEGMENTS)!r})""",
     "q_raw_lines": f"WITH {DOCS}, {raw_select('doc_id')} SELECT * FROM raw_counts",
     "q_raw_files": f"WITH {FILE_FACTS}, {raw_select('project, path')} SELECT * FROM raw_counts",

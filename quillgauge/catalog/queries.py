@@ -270,7 +270,7 @@ def q_statements(spark, sf):
 
 
 def q_context(spark, sf):
-    found = code.targets(inputs.files(spark, sf))
+    found = code.targets(inputs.files(spark, sf)).filter(F.col("kind") != "class")
     return found.select(
         *gate.BLOCK_KEY, "metric", "value", F.sha2("source", 256).alias("source_sha"), "context"
     )
@@ -493,7 +493,7 @@ def q_requests(spark, sf):
 
 
 def q_rewrite_prompts(spark, sf):
-    found = code.targets(inputs.files(spark, sf))
+    found = code.targets(inputs.files(spark, sf)).filter(F.col("kind") != "class")
     scores = F.array(F.struct(F.col("name"), F.col("value")), F.struct(F.lit("ok").alias("name"), F.lit(1).cast("bigint").alias("value")))
     feedback = t.retry_feedback(F.col("metric"), scores, 15, F.lit(None).cast("string"))
     prompt = t.rewrite_prompt(

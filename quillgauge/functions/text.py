@@ -152,7 +152,7 @@ def is_text_path(p: Column) -> Column:
 
 
 def change_weight(added: Column, deleted: Column, is_binary: Column, size: Column) -> Column:
-    lines = (F.coalesce(added, F.lit(0)) + F.coalesce(deleted, F.lit(0))).cast("bigint")
+    lines = sum((F.coalesce(n, F.lit(0)).cast("bigint") for n in (added, deleted)), F.lit(0))
     return F.when(is_binary, F.greatest(F.lit(1), F.coalesce(size, F.lit(1)))).otherwise(
         F.greatest(F.lit(1), lines * v.WEIGHT_PER_LINE)
     ).cast("bigint")

@@ -166,26 +166,30 @@ def init_attributes(files: DataFrame, limit: int = v.MAX_INIT_LINES) -> DataFram
 
 
 def targets(files: DataFrame, limit: int = v.MAX_SCORE) -> DataFrame:
-    """Functions over the limit, per metric, with their text and file context.
+    """Blocks over the limit, per metric; functions come with their text and file context.
 
     The context is built inside the file's row and only for the functions kept, so file
-    texts are neither shuffled nor copied per block.
+    texts are neither shuffled nor copied per block. Classes have no text: only functions
+    can be rewritten.
     """
     closure = lambda b: F.coalesce(b["parent_kind"].isin("def", "async"), F.lit(False))
     over = {
-        "cyclomatic": lambda b: b["kind"].isin("def", "async") & ~closure(b) & (b["total"] > limit),
-        "cognitive": lambda b: (b["kind"] == "def") & (b["cognitive"] > limit),
+        "cyclomatic": lambda b: ~closure(b) & (score["cyclomatic"](b) > limit),
+        "cognitive": lambda b: (b["kind"] == "def") & (score["cognitive"](b) > limit),
+    }
+    score = {
+        "cyclomatic": lambda b: F.when(b["kind"] == "class", b["own"]).otherwise(b["total"]),
+        "cognitive": lambda b: b["cognitive"],
     }
-    score = {"cyclomatic": "total", "cognitive": "cognitive"}
 
     def chosen(metric: str) -> Column:
         return F.transform(
             F.filter("blocks", over[metric]),
             lambda b: F.struct(
-                b["name"].alias("name"), b["line"].alias("block_line"),
+                b["name"].alias("name"), b["kind"].alias("kind"), b["line"].alias("block_line"),
                 b["start"].alias("start_line"), b["end"].alias("end_line"),
                 b["line"].alias("line"), b["parent_line"].alias("parent_line"),
-                b[score[metric]].alias("value"), F.lit(metric).alias("metric"),
+                score[metric](b).alias("value"), F.lit(metric).alias("metric"),
             ),
         )
 
@@ -201,10 +205,13 @@ def targets(files: DataFrame, limit: int = v.MAX_SCORE) -> DataFrame:
     found = F.transform(
         "chosen",
         lambda b: F.struct(
-            *[b[x].alias(x) for x in ("name", "block_line", "start_line", "end_line", "value", "metric")],
-            c.block_text(F.col("facts"), b["start_line"], b["end_line"]).alias("source"),
-            c.file_context(
-                F.col("facts"), F.col("blocks"), b, F.col("imports"), F.col("constants")
+            *[b[x].alias(x) for x in ("name", "kind", "block_line", "start_line", "end_line", "value", "metric")],
+            F.when(
+                b["kind"] != "class", c.block_text(F.col("facts"), b["start_line"], b["end_line"])
+            ).alias("source"),
+            F.when(
+                b["kind"] != "class",
+                c.file_context(F.col("facts"), F.col("blocks"), b, F.col("imports"), F.col("constants")),
             ).alias("context"),
         ),
     )

@@ -92,13 +92,14 @@ def union_metrics(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def drop_excluded(violations: DataFrame, exclusions: DataFrame) -> DataFrame:
-    """Remove listed blocks: same metric, same name, and the path holds the listed part."""
+    """Remove listed blocks: same metric, same name, and the full path holds the listed part."""
+    full = F.concat_ws("/", F.col("v.project"), t.norm_path(F.col("v.path")))
     listed = broadcast_if_small(exclusions).alias("x")
     left = violations.alias("v")
     hit = (
         (F.col("v.metric") == F.col("x.metric"))
         & (F.col("v.name") == F.col("x.block"))
-        & F.contains(t.norm_path(F.col("v.path")), F.col("x.part"))
+        & F.contains(full, F.col("x.part"))
     )
     return left.join(listed, hit, "left_anti")
 

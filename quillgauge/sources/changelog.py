@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgauge.functions import text as t
@@ -16,18 +16,19 @@ def parse_numstat(lines: DataFrame, value: str = "value") -> DataFrame:
     parts = F.split(t.rstrip(F.col(value)), "\t", 3)
     rest = [F.col(c) for c in lines.columns if c != value]
     rows = lines.select(*rest, parts.alias("_f")).filter(
-        (F.size("_f") == 3) & (F.col("_f")[2] != "")
+        F.get("_f", F.lit(2)) != ""
     )
-    binary = (F.col("_f")[0] == "-") | (F.col("_f")[1] == "-")
+    added, deleted, path = (F.get("_f", F.lit(i)) for i in range(3))
+    binary = (added == "-") | (deleted == "-")
 
-    def count(i: int):
-        return F.coalesce(F.col("_f")[i].try_cast("int"), F.lit(0))
+    def count(text: Column) -> Column:
+        return F.coalesce(text.try_cast("bigint"), F.lit(0))
 
     return rows.select(
         *rest,
-        F.col("_f")[2].alias("path"),
-        F.when(~binary, count(0)).alias("added"),
-        F.when(~binary, count(1)).alias("deleted"),
+        path.alias("path"),
+        F.when(~binary, count(added)).alias("added"),
+        F.when(~binary, count(deleted)).alias("deleted"),
         binary.alias("is_binary"),
     )
 
@@ -36,7 +37,8 @@ def parse_name_status(lines: DataFrame, value: str = "value") -> DataFrame:
     """`status⇥path[⇥newpath]` lines; a rename or copy keeps the new path."""
     rest = [F.col(c) for c in lines.columns if c != value]
     rows = lines.select(*rest, F.split(t.strip(F.col(value)), "\t+").alias("_f"))
-    path = F.when(F.col("_f")[0].rlike("^[RC]"), F.element_at("_f", -1)).otherwise(F.col("_f")[1])
+    status, second = F.get("_f", F.lit(0)), F.get("_f", F.lit(1))
+    path = F.when(status.rlike("^[RC]"), F.element_at("_f", -1)).otherwise(second)
     return rows.filter(F.size("_f") >= 2).select(
-        *rest, F.col("_f")[0].alias("status"), path.alias("path")
+        *rest, status.alias("status"), path.alias("path")
     )

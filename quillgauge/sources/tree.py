@@ -125,8 +125,8 @@ def read_source_tree(
 ) -> DataFrame:
     """`files(project, path, content, error)` of all matching files, hidden names included.
 
-    Paths are relative to the scanned folder; a missing folder gives no rows. Ignored names
-    are pruned while listing, before anything is read. Bad bytes are replaced.
+    Paths are relative to the root; a missing folder gives no rows. Names ignored below the
+    scanned folder are pruned while listing, before anything is read. Bad bytes are replaced.
     """
     spark.dataSource.register(SourceTree)
     base = root.rstrip("/") + (f"/{subdir}" if subdir else "")
@@ -137,4 +137,7 @@ def read_source_tree(
         .option("shards", str(shards))
         .load()
     )
-    return rows.select(F.lit(project or root.rstrip("/")).alias("project"), "path", "content", "error")
+    path = F.concat(F.lit(f"{subdir}/" if subdir else ""), F.col("path"))
+    return rows.select(
+        F.lit(project or root.rstrip("/")).alias("project"), path.alias("path"), "content", "error"
+    )

@@ -118,6 +118,7 @@ FILES = [
     ("p", "d.py", BAD.format(n="late")),
     ("p", "e.py", BAD.format(n="lost")),
     ("p", "ok.py", "def fine():\n    return 1\n"),
+    ("p", "k.py", "class Wide:\n" + "    if a and b: c = 1\n" * 3),
 ]
 
 
@@ -155,6 +156,7 @@ def test_rewrite_all(spark, corpus):
     assert told[(1, "late")] == (True, 2, None)
     assert told[(1, "stuck")] == (False, 3, "still over the limit")
     assert told[(1, "lost")] == (False, 1, "RuntimeError: down")
+    assert told[(1, "Wide")] == (False, 0, "not a function")
     left = code.blocks(after).filter("total > 5").select("name").collect()
     assert {r["name"] for r in left} == {"stuck", "lost"}
 

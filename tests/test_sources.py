@@ -30,7 +30,8 @@ def tree():
 @pytest.mark.parametrize("shards", [1, 5])
 def test_tree_keeps_hidden_names_and_bad_bytes(spark, tree, shards):
     got = {r["path"]: r["content"] for r in read_source_tree(spark, tree, shards=shards).collect()}
-    assert got == {"a.py": "x = 1\n", "__init__.py": "", ".hid/b.py": "y", "deep/er/c.py": "z\r\n", "bad.py": "ok�"}
+    expected = {"a.py": "x = 1\n", "__init__.py": "", ".hid/b.py": "y", "deep/er/c.py": "z\r\n", "bad.py": "ok�"}
+    assert got == {f"src/{k}": x for k, x in expected.items()}
 
 
 def test_tree_options(spark, tree):
@@ -38,7 +39,7 @@ def test_tree_options(spark, tree):
     assert len(every) == 7 and all(r["path"].startswith("src/") for r in every)
     assert read_source_tree(spark, tree, subdir="missing").count() == 0
     ordered = read_source_tree(spark, tree, project="me").orderBy("path").first()
-    assert (ordered["project"], ordered["path"]) == ("me", ".hid/b.py")
+    assert (ordered["project"], ordered["path"]) == ("me", "src/.hid/b.py")
 
 
 def test_exclusions(spark, caplog):
