@@ -417,18 +417,15 @@ def class_context(facts: Column, blocks: Column, target: Column) -> Column:
         blocks, lambda b: (b["line"] == target["parent_line"]) & (b["kind"] == "class")
     )
 
-    def section(title: str, lines: Column) -> Column:
-        return F.concat(F.lit(title), F.nullif(F.array_join(lines, "\n"), F.lit("")))
+    def section(name: str, lines: Column) -> Column:
+        return F.concat(F.lit(v.CONTEXT_SECTIONS[name] + "\n"), F.nullif(F.array_join(lines, "\n"), F.lit("")))
 
     def of(c: Column) -> Column:
         return F.concat_ws(
             "\n\n",
-            F.concat(F.lit("## Class context\n"), _line_at(facts, c["line"])),
-            section("### __init__ attributes\n", init_lines(facts, blocks, c, v.MAX_INIT_LINES)),
-            section(
-                "### Other methods in the class\n",
-                sibling_lines(facts, blocks, c, target, v.MAX_SIBLINGS),
-            ),
+            F.concat(F.lit(v.CONTEXT_SECTIONS["class"] + "\n"), _line_at(facts, c["line"])),
+            section("init", init_lines(facts, blocks, c, v.MAX_INIT_LINES)),
+            section("siblings", sibling_lines(facts, blocks, c, target, v.MAX_SIBLINGS)),
         )
 
     return F.get(F.transform(classes, of), F.lit(0))
@@ -439,13 +436,13 @@ def file_context(
 ) -> Column:
     """Context text of one block: imports, class context and constants, empty parts left out."""
 
-    def fenced(title: str, lines: Column) -> Column:
+    def fenced(name: str, lines: Column) -> Column:
         return F.concat(
-            F.lit(f"{title}\n```python\n"), F.nullif(F.array_join(lines, "\n"), F.lit("")),
+            F.lit(f"{v.CONTEXT_SECTIONS[name]}\n```python\n"), F.nullif(F.array_join(lines, "\n"), F.lit("")),
             F.lit("\n```"),
         )
 
     return F.concat_ws(
-        "\n\n", F.lit(v.CONTEXT_TITLE), fenced("## Imports", imports),
-        class_context(facts, blocks, target), fenced("## Module constants", constants),
+        "\n\n", F.lit(v.CONTEXT_TITLE), fenced("imports", imports),
+        class_context(facts, blocks, target), fenced("constants", constants),
     )

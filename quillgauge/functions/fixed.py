@@ -4,6 +4,10 @@ Everything here is data. It is kept in one place and in plain text so that a rea
 compare a verdict or a rendered message with the value that produced it.
 """
 
+# ========================================================================================
+# FIXED VALUES: all values below must be exactly these for results to be right.
+# ========================================================================================
+
 # --- limits -----------------------------------------------------------------------------
 MAX_SCORE = 15
 MAX_IMPORT_LINES = 80
@@ -85,6 +89,13 @@ MESSAGE_PROBLEMS = {
     "markdown": "markdown analysis bullets instead of commit message",
     "analysis": "analysis prose instead of commit message",
 }
+SUMMARY_PROBLEMS = {
+    "empty": "empty",
+    "long": "too long",
+    "generic": "generic",
+    "dump": "path dump",
+    "chatty": "chat-style",
+}
 MAX_MESSAGE_CHARS = 3200
 MAX_SUBJECT_CHARS = 120
 MAX_SUMMARY_CHARS = 140
@@ -98,7 +109,32 @@ FILES_OMITTED = "[... additional files omitted for prompt size ...]"
 UNTRACKED_TITLE = "-- untracked paths and snippets --"
 FENCE = "```"
 
+OMITTED_PATHS = ("[... ", " additional untracked paths omitted ...]")
+DIFF_TITLE = ("--- diff for ", " ---\n")
+MORE_AREAS = ("- ...and ", " more change areas")
+BUNDLE_TITLES = {
+    "repo": ("=== REPO: ", " (branch: ", ") ==="),
+    "porcelain": "-- git status --porcelain --",
+    "name_status": "-- git diff HEAD --name-status --",
+    "diff_stat": "-- git diff HEAD --stat --",
+    "full": "-- balanced git diff excerpts --",
+    "lite": "-- short diff excerpt --",
+    "paths-only": "-- untracked paths --",
+}
+CONTEXT_TITLE = "# File context (for reference only — do not reproduce in your output):"
+CONTEXT_SECTIONS = {
+    "imports": "## Imports",
+    "class": "## Class context",
+    "init": "### __init__ attributes",
+    "siblings": "### Other methods in the class",
+    "constants": "## Module constants",
+}
+
 # --- fallback texts ---------------------------------------------------------------------
+UPDATE = "Update "
+UPDATE_TESTS = "Update tests"
+UPDATE_DOCS = "Update documentation"
+UPDATE_CONFIG = "Update configuration"
 TEST_TOKENS = ["test", "spec"]
 DOC_TOKENS = ["readme", ".md", "docs/", "/doc/"]
 CONFIG_TOKENS = [".yml", ".yaml", ".toml", ".ini", ".cfg", ".json", "config"]
@@ -108,6 +144,15 @@ FALLBACK_BODY = (
 )
 
 # --- prompt texts -----------------------------------------------------------------------
+PROMPT_REPO = "Repository folder name: "
+PROMPT_REJECTED = "\nPrevious output was rejected because: "
+REDUCE_PROMPT_HEAD = (" files changed across ", " groups. Below are the group summaries:\n\n")
+REWRITE_ASK = ("Refactor the function `", "` to reduce its ", " complexity from ", " to at most ")
+REWRITE_TOLD = "IMPORTANT — Previous attempt feedback:\n"
+REWRITE_CODE = ("\nFunction to refactor:\n```python\n", "```")
+RETRY_ERROR = "Your previous attempt had a validation error: "
+RETRY_OVER = ("Function `", "` still has ", " complexity ", " (must be <= ")
+LOG_FAILED = "  Validation failed: "
 MESSAGE_PROMPT_NOTE = (
     "Machine-readable git output only. Write the commit message from this data; "
     "do not describe the format of the data."
@@ -196,4 +241,3 @@ NAME_ERROR_ADVICE = (
     "Do NOT invent new type names. If you extract a helper function, its parameter "
     "types must use only types visible in the file's import section shown in the context."
 )
-CONTEXT_TITLE = "# File context (for reference only — do not reproduce in your output):"

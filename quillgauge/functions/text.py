@@ -223,13 +223,13 @@ def message_problem(text: Column, repo: Column) -> Column:
 
 
 def summary_problem(line: Column, repo: Column) -> Column:
-    text = strip(line)
+    text, say = strip(line), v.SUMMARY_PROBLEMS
     return (
-        F.when(text == "", "empty")
-        .when(F.length(text) > v.MAX_SUMMARY_CHARS, "too long")
-        .when(is_generic_subject(text, repo), "generic")
-        .when(is_path_dump(text), "path dump")
-        .when(_starts_with_any(F.lower(text), v.SUMMARY_PREFIXES), "chat-style")
+        F.when(text == "", say["empty"])
+        .when(F.length(text) > v.MAX_SUMMARY_CHARS, say["long"])
+        .when(is_generic_subject(text, repo), say["generic"])
+        .when(is_path_dump(text), say["dump"])
+        .when(_starts_with_any(F.lower(text), v.SUMMARY_PREFIXES), say["chatty"])
     )
 
 
@@ -239,15 +239,15 @@ def summary_problem(line: Column, repo: Column) -> Column:
 def _category(name_status: Column, diff_stat: Column, note: Column) -> Column:
     text = F.lower(F.concat_ws("\n", name_status, diff_stat, note))
     return (
-        F.when(_contains_any(text, v.TEST_TOKENS), "Update tests")
-        .when(_contains_any(text, v.DOC_TOKENS), "Update documentation")
-        .when(_contains_any(text, v.CONFIG_TOKENS), "Update configuration")
+        F.when(_contains_any(text, v.TEST_TOKENS), v.UPDATE_TESTS)
+        .when(_contains_any(text, v.DOC_TOKENS), v.UPDATE_DOCS)
+        .when(_contains_any(text, v.CONFIG_TOKENS), v.UPDATE_CONFIG)
     )
 
 
 def fallback_message(repo: Column, name_status: Column, diff_stat: Column, note: Column) -> Column:
     subject = F.coalesce(
-        _category(name_status, diff_stat, note), F.concat(F.lit("Update "), repo)
+        _category(name_status, diff_stat, note), F.concat(F.lit(v.UPDATE), repo)
     )
     return F.concat(subject, F.lit("\n\n" + v.FALLBACK_BODY))
 
@@ -257,7 +257,7 @@ def fallback_summary(
 ) -> Column:
     return F.coalesce(
         _category(name_status, diff_stat, note),
-        F.concat(F.lit("Update "), F.coalesce(modal_dir, repo)),
+        F.concat(F.lit(v.UPDATE), F.coalesce(modal_dir, repo)),
     )
 
 
@@ -271,21 +271,21 @@ def _data_block(bundle: Column) -> Column:
 def user_prompt(repo: Column, bundle: Column, reason: Column) -> Column:
     retry = F.coalesce(
         F.concat(
-            F.lit("\nPrevious output was rejected because: "),
+            F.lit(v.PROMPT_REJECTED),
             F.nullif(reason, F.lit("")),
             F.lit(f".\n{v.REPAIR_NOTE}\n"),
         ),
         F.lit(""),
     )
     return F.concat(
-        F.lit("Repository folder name: "), repo, F.lit("\n"), retry,
+        F.lit(v.PROMPT_REPO), repo, F.lit("\n"), retry,
         F.lit(f"\n{v.MESSAGE_PROMPT_NOTE}\n\n"), _data_block(bundle),
     )
 
 
 def summary_prompt(repo: Column, bundle: Column) -> Column:
     return F.concat(
-        F.lit("Repository folder name: "), repo,
+        F.lit(v.PROMPT_REPO), repo,
         F.lit(f"\n\n{v.SUMMARY_PROMPT_NOTE}\n\n"), _data_block(bundle),
     )
 
@@ -298,8 +298,8 @@ def subject_prompt(items: Column) -> Column:
 
 def reduce_prompt(items: Column, n_files: Column, n_items: Column) -> Column:
     return F.concat(
-        n_files.cast("string"), F.lit(" files changed across "), n_items.cast("string"),
-        F.lit(" groups. Below are the group summaries:\n\n"), items,
+        n_files.cast("string"), F.lit(v.REDUCE_PROMPT_HEAD[0]), n_items.cast("string"),
+        F.lit(v.REDUCE_PROMPT_HEAD[1]), items,
         F.lit("\n\n" + v.REDUCE_PROMPT_TAIL),
     )
 
@@ -318,18 +318,17 @@ def rewrite_prompt(
     source: Column, name: Column, metric: Column, value: Column, limit: int,
     context: Column, feedback: Column,
 ) -> Column:
+    first, second, third, last = v.REWRITE_ASK
     ask = F.concat(
-        F.lit("Refactor the function `"), name, F.lit("` to reduce its "), metric,
-        F.lit(" complexity from "), value.cast("string"), F.lit(f" to at most {limit}.\n"),
-    )
-    told = F.concat(
-        F.lit("IMPORTANT — Previous attempt feedback:\n"), F.nullif(feedback, F.lit("")), F.lit("\n")
+        F.lit(first), name, F.lit(second), metric, F.lit(third), value.cast("string"),
+        F.lit(f"{last}{limit}.\n"),
     )
+    told = F.concat(F.lit(v.REWRITE_TOLD), F.nullif(feedback, F.lit("")), F.lit("\n"))
     needs = F.concat(
         F.lit(v.REWRITE_NEEDS_HEAD), F.length(detect_indent(source)).cast("string"),
         F.lit(v.REWRITE_NEEDS_TAIL),
     )
-    code = F.concat(F.lit("\nFunction to refactor:\n```python\n"), source, F.lit("```"))
+    code = F.concat(F.lit(v.REWRITE_CODE[0]), source, F.lit(v.REWRITE_CODE[1]))
     return F.concat_ws(
         "\n", ask, told, needs, F.concat(F.lit("\n"), F.nullif(context, F.lit(""))), code
     )
@@ -337,16 +336,15 @@ def rewrite_prompt(
 
 def retry_feedback(metric: Column, scores: Column, limit: int, error: Column) -> Column:
     """One sentence per block still over the limit; `scores` is ARRAY<STRUCT<name, value>>."""
+    first, second, third, last = v.RETRY_OVER
     over = F.transform(
         F.filter(scores, lambda x: x["value"] > limit),
         lambda x: F.concat(
-            F.lit("Function `"), x["name"], F.lit("` still has "), metric, F.lit(" complexity "),
-            x["value"].cast("string"), F.lit(f" (must be <= {limit})."),
+            F.lit(first), x["name"], F.lit(second), metric, F.lit(third),
+            x["value"].cast("string"), F.lit(f"{last}{limit})."),
         ),
     )
-    failed = F.concat(
-        F.lit("Your previous attempt had a validation error: "), F.nullif(error, F.lit(""))
-    )
+    failed = F.concat(F.lit(v.RETRY_ERROR), F.nullif(error, F.lit("")))
     return F.concat_ws(
         "\n", failed, F.nullif(F.array_join(over, "\n"), F.lit("")), F.lit(v.RETRY_ADVICE)
     )
@@ -368,7 +366,7 @@ def validation_log(metric: Column, scores: Column, limit: int, error: Column) ->
             F.lit(f" (still > {limit})"),
         ),
     )
-    failed = F.concat(F.lit("  Validation failed: "), F.nullif(error, F.lit("")))
+    failed = F.concat(F.lit(v.LOG_FAILED), F.nullif(error, F.lit("")))
     return F.coalesce(failed, F.array_join(over, "\n"))
 
 

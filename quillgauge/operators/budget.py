@@ -43,7 +43,7 @@ def pack_excerpts(
     leading non-empty diffs can fit (each costs at least its heading), so all others are
     dropped before the shuffle. The budget is then a running sum over those few rows.
     """
-    head, tail = "--- diff for ", " ---\n"
+    head, tail = v.DIFF_TITLE
     least_cost = len(head) + len(tail) + 1 + 2
     candidates = max_chars // least_cost + 2
     totals = changes.groupBy(*keys).agg(
@@ -109,8 +109,8 @@ def untracked_snippets(
     more = F.when(
         F.col("n_untracked") > max_files,
         F.array(F.concat(
-            F.lit("[... "), (F.col("n_untracked") - max_files).cast("string"),
-            F.lit(" additional untracked paths omitted ...]"),
+            F.lit(v.OMITTED_PATHS[0]), (F.col("n_untracked") - max_files).cast("string"),
+            F.lit(v.OMITTED_PATHS[1]),
         )),
     ).otherwise(F.array().cast("array<string>"))
     lines = F.concat(
@@ -150,7 +150,7 @@ def capped_text(kept: Column, total: Column) -> Column:
     left = total - F.size(kept)
     more = F.when(
         left > 0,
-        F.array(F.concat(F.lit("- ...and "), left.cast("string"), F.lit(" more change areas"))),
+        F.array(F.concat(F.lit(v.MORE_AREAS[0]), left.cast("string"), F.lit(v.MORE_AREAS[1]))),
     ).otherwise(F.array().cast("array<string>"))
     return F.array_join(
         F.concat(F.transform(kept, lambda x: F.concat(F.lit("- "), x)), more), "\n"

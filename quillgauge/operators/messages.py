@@ -120,26 +120,22 @@ def bundles(
 
 def render_bundle(level: str, repo: Column | None = None) -> Column:
     """Bundle text at a level: full, lite (cut excerpts and note) or paths-only (no excerpts)."""
-    name = repo if repo is not None else F.col("repo")
-    head = [
-        F.concat(F.lit("=== REPO: "), name, F.lit(" (branch: "), F.col("branch"), F.lit(") ===")),
-        F.lit("-- git status --porcelain --"), F.col("porcelain"),
-        F.lit("-- git diff HEAD --name-status --"), F.col("name_status"),
-        F.lit("-- git diff HEAD --stat --"), F.col("diff_stat"),
-    ]
+    name, titles = repo if repo is not None else F.col("repo"), v.BUNDLE_TITLES
+    before, between, after = titles["repo"]
+    head = [F.concat(F.lit(before), name, F.lit(between), F.col("branch"), F.lit(after))]
+    for listing in BUNDLE_FIELDS[:3]:
+        head += [F.lit(titles[listing]), F.col(listing)]
     note = F.nullif(t.rstrip(F.col("untracked_note")), F.lit(""))
+    sample = F.col("diff_sample")
     if level == "full":
-        tail = [F.lit("-- balanced git diff excerpts --"), F.col("diff_sample"), note]
+        tail = [F.lit(titles[level]), sample, note]
     elif level == "lite":
         tail = [
-            F.lit("-- short diff excerpt --"),
-            t.truncate(F.col("diff_sample"), v.LITE_EXCERPT_CHARS),
+            F.lit(titles[level]), t.truncate(sample, v.LITE_EXCERPT_CHARS),
             t.truncate(note, v.LITE_NOTE_CHARS),
         ]
     else:
-        paths = F.nullif(
-            F.array_join(F.slice("untracked_paths", 1, v.MAX_UNTRACKED), "\n"), F.lit("")
-        )
-        tail = [F.concat(F.lit("-- untracked paths --\n"), paths)]
+        paths = F.array_join(F.slice("untracked_paths", 1, v.MAX_UNTRACKED), "\n")
+        tail = [F.concat(F.lit(titles[level] + "\n"), F.nullif(paths, F.lit("")))]
     text = F.concat_ws("\n", *head, *tail)
     return F.when(F.col("porcelain").isNotNull(), text)
