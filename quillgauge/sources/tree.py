@@ -22,16 +22,19 @@ SCHEMA = "path STRING, content STRING, error STRING"
 BATCH_BYTES = 32 * 1024 * 1024
 
 
-class Subtree(InputPartition):
-    def __init__(self, folder: str, deep: bool, shard: int, shards: int):
-        self.folder, self.deep, self.shard, self.shards = folder, deep, shard, shards
+class Share(InputPartition):
+    """Folders for one task: (folder, whether to go below it, which of how many shares)."""
+
+    def __init__(self, pieces: list[tuple[str, bool, int, int]]):
+        self.pieces = pieces
 
 
 class SourceTreeReader(DataSourceReader):
     """Lists only enough folders on the driver to feed the tasks; tasks walk the rest.
 
-    Each folder is read by several tasks that share its files by a hash of the path, so one
-    folder with most of the files is still spread.
+    Small folders go to one task together. A folder with many files, and every folder the
+    driver did not list, is read by several tasks that share its files by a hash of the path,
+    so one folder with most of the files is still spread. The driver keeps counts, no files.
     """
 
     def __init__(self, options: dict[str, str]):
@@ -40,6 +43,7 @@ class SourceTreeReader(DataSourceReader):
         self.ignore = set(filter(None, options.get("ignore", "").split(",")))
         self.folders = int(options.get("folders", "256"))
         self.shards = int(options.get("shards", "8"))
+        self.per_task = int(options.get("per_task", "500"))
 
     def _open(self) -> tuple[fs.FileSystem, str]:
         if "://" in self.root:
@@ -50,48 +54,57 @@ class SourceTreeReader(DataSourceReader):
         found = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
         return [x for x in found if x.base_name not in self.ignore]
 
-    def partitions(self) -> list[Subtree]:
+    def partitions(self) -> list[Share]:
         system, base = self._open()
-        if system.get_file_info(base).type != fs.FileType.Directory:
-            return [Subtree(base, False, 0, 1)]
-        flat, frontier = [], [base]
-        while frontier and len(flat) + len(frontier) < self.folders:
+        listed: list[tuple[str, int]] = []
+        frontier = [base] if system.get_file_info(base).type == fs.FileType.Directory else []
+        while frontier and len(listed) + len(frontier) < self.folders:
             below = []
             for folder in frontier:
-                flat.append(folder)
-                below += [
-                    x.path for x in self._children(system, folder) if x.type == fs.FileType.Directory
-                ]
+                inside = self._children(system, folder)
+                below += [x.path for x in inside if x.type == fs.FileType.Directory]
+                listed.append((folder, sum(x.type == fs.FileType.File for x in inside)))
             frontier = below
-        return [
-            Subtree(folder, deep, k, self.shards)
-            for folders, deep in ((flat, False), (frontier, True))
-            for folder in folders
-            for k in range(self.shards)
-        ]
-
-    def read(self, part: Subtree) -> Iterator[pa.RecordBatch]:
+        shares, together, n_together = [], [], 0
+        for folder, n in listed:
+            parts = -(-n // self.per_task)
+            if parts > 1:
+                shares += [Share([(folder, False, k, parts)]) for k in range(parts)]
+                continue
+            together.append((folder, False, 0, 1))
+            n_together += n
+            if n_together >= self.per_task:
+                shares.append(Share(together))
+                together, n_together = [], 0
+        shares += [Share([(f, True, k, self.shards)]) for f in frontier for k in range(self.shards)]
+        return [*shares, Share(together)]
+
+    def read(self, share: Share) -> Iterator[pa.RecordBatch]:
         system, base = self._open()
         rows: list[tuple[str, str | None, str | None]] = []
-        size, stack = 0, [part.folder]
-        while stack:
-            for x in self._children(system, stack.pop()):
-                if x.type == fs.FileType.Directory:
-                    if part.deep:
-                        stack.append(x.path)
-                    continue
-                relative = x.path[len(base.rstrip("/")) + 1 :]
-                mine = zlib.crc32(relative.encode()) % part.shards == part.shard
-                if not mine or not fnmatch.fnmatchcase(x.base_name, self.glob):
-                    continue
-                rows.append((relative, *self._text(system, x.path)))
-                size += x.size or 0
-                if size > BATCH_BYTES:
-                    yield _batch(rows)
-                    rows, size = [], 0
+        size = 0
+        for x in self._files(system, share):
+            relative = x.path[len(base.rstrip("/")) + 1 :]
+            rows.append((relative, *self._text(system, x.path)))
+            size += x.size or 0
+            if size > BATCH_BYTES:
+                yield _batch(rows)
+                rows, size = [], 0
         if rows:
             yield _batch(rows)
 
+    def _files(self, system: fs.FileSystem, share: Share) -> Iterator[fs.FileInfo]:
+        for folder, deep, part, parts in share.pieces:
+            stack = [folder]
+            while stack:
+                for x in self._children(system, stack.pop()):
+                    if x.type == fs.FileType.Directory:
+                        if deep:
+                            stack.append(x.path)
+                    elif zlib.crc32(x.path.encode()) % parts == part:
+                        if fnmatch.fnmatchcase(x.base_name, self.glob):
+                            yield x
+
     @staticmethod
     def _text(system: fs.FileSystem, path: str) -> tuple[str | None, str | None]:
         try:
@@ -121,7 +134,8 @@ class SourceTree(DataSource):
 
 def read_source_tree(
     spark: SparkSession, root: str, glob: str = "*.py", subdir: str | None = "src",
-    ignore: list[str] | None = None, project: str | None = None, shards: int = 8,
+    ignore: list[str] | None = None, project: str | None = None, folders: int = 256,
+    shards: int = 8, per_task: int = 500,
 ) -> DataFrame:
     """`files(project, path, content, error)` of all matching files, hidden names included.
 
@@ -134,7 +148,7 @@ def read_source_tree(
     rows = (
         spark.read.format("source_tree")
         .option("root", base).option("glob", glob).option("ignore", ",".join(names))
-        .option("shards", str(shards))
+        .option("folders", str(folders)).option("shards", str(shards)).option("per_task", str(per_task))
         .load()
     )
     path = F.concat(F.lit(f"{subdir}/" if subdir else ""), F.col("path"))

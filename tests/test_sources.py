@@ -27,9 +27,11 @@ def tree():
     return root
 
 
-@pytest.mark.parametrize("shards", [1, 5])
-def test_tree_keeps_hidden_names_and_bad_bytes(spark, tree, shards):
-    got = {r["path"]: r["content"] for r in read_source_tree(spark, tree, shards=shards).collect()}
+@pytest.mark.parametrize("limits", [{}, {"folders": 1, "shards": 3}, {"folders": 3, "shards": 2}, {"per_task": 1}])
+def test_tree_keeps_hidden_names_and_bad_bytes(spark, tree, limits):
+    rows = read_source_tree(spark, tree, **limits).collect()
+    got = {r["path"]: r["content"] for r in rows}
+    assert len(rows) == len(got)
     expected = {"a.py": "x = 1\n", "__init__.py": "", ".hid/b.py": "y", "deep/er/c.py": "z\r\n", "bad.py": "ok�"}
     assert got == {f"src/{k}": x for k, x in expected.items()}
 
