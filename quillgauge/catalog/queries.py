@@ -299,16 +299,12 @@ def q_unrun(spark, sf):
 
 def q_report(spark, sf):
     files = inputs.files(spark, sf)
-    blocks = code.blocks(files)
-    lines = [
-        report.render_report(code.cyclomatic(blocks), "cc"),
-        report.render_report(code.raw_metrics(files), "raw"),
-        report.render_report(gate.violations(files), "check"),
-    ]
-    first, *rest = [x.select("path", "line") for x in lines]
-    for other in rest:
-        first = first.unionByName(other)
-    return first
+    listed = F.when(F.col("metric") == "cyclomatic", report.report_line("cc"))
+    failed = F.when(F.col("value") > 15, report.report_line("check"))
+    # Both reports of a block come from its one row.
+    blocks = gate.scores(files).select("path", F.explode(F.array_compact(F.array(listed, failed))).alias("line"))
+    raw = report.render_report(code.raw_metrics(files), "raw").select("path", "line")
+    return blocks.unionByName(raw).orderBy("path", "line")
 
 
 def q_quarantine(spark, sf):

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 def render_report(df: DataFrame, mode: str) -> DataFrame:
     """Adds `line`, the report text of a row: cc, raw, halstead, mi or check."""
-    return df.withColumn("line", _line(mode))
+    return df.withColumn("line", report_line(mode))
 
 
-def _line(mode: str) -> Column:
+def report_line(mode: str) -> Column:
+    """Report text over the columns of one row."""
     if mode == "cc":
         return F.format_string("%s:%d %s (complexity=%d)", "path", "block_line", "name", "value")
     if mode == "raw":
