@@ -20,6 +20,7 @@ empty table gives an empty result. Only doc_id and text are read; other columns
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -123,9 +124,9 @@ def shard_links(batches: Iterable[pa.RecordBatch], radius: int) -> Iterator[pa.R
     shard, tree, classes, mask = None, BKTree(), Classes(), (1 << BITS) - 1
     for batch in batches:
         left, right = [], []
-        for path, part, fp in zip(*[batch.column(c).to_pylist() for c in ("path", "part", "fp")], strict=True):
-            if (path, part) != shard:
-                shard, tree, classes = (path, part), BKTree(), Classes()
+        for part, fp, bits in zip(*[batch.column(c).to_pylist() for c in ("part", "fp", "mask")], strict=True):
+            if (bits, part) != shard:
+                shard, tree, classes = (bits, part), BKTree(), Classes()
             new = len(tree.values)
             classes.add()
             for hit in tree.near(fp & mask, radius):
@@ -136,49 +137,46 @@ def shard_links(batches: Iterable[pa.RecordBatch], radius: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_pydict({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
 
-def blocks_of(free: list[int], count: int) -> list[list[int]]:
-    return [list(map(int, piece)) for piece in np.array_split(np.array(free), count)]
+@lru_cache(maxsize=1 << 16)
+def wider(mask: int, radius: int) -> tuple[int, ...]:
+    """Masks that add one of radius + 1 blocks of the free bits to the bits of `mask` (signed)."""
+    free = [b for b in range(BITS) if not mask >> b & 1]
+    made = [sum(1 << int(b) for b in piece) | mask % (1 << BITS) for piece in np.array_split(np.array(free), radius + 1)]
+    return tuple(m - (1 << BITS) if m >> (BITS - 1) else m for m in dict.fromkeys(made))
 
 
-def signed(bits: list[int]) -> int:
-    return int(np.array([sum(1 << b for b in bits)], np.uint64).view(np.int64)[0])
+def in_shards(batches: Iterable[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Each row once for every wider mask; its shard is the mask with the masked bits."""
+    for batch in batches:
+        masks, prints = [], []
+        for mask, fp in zip(batch.column("mask").to_pylist(), batch.column("fp").to_pylist(), strict=True):
+            for m in wider(mask, radius):
+                masks.append(m)
+                prints.append(fp)
+        masks, prints = np.array(masks, np.int64), np.array(prints, np.int64)
+        yield pa.RecordBatch.from_pydict({"mask": masks, "part": masks & prints, "fp": prints})
 
 
 def linked(distinct: DataFrame, radius: int = 2, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Links (a, b) that connect all fingerprints within the radius of each other."""
-    pieces = blocks_of(list(range(BITS)), radius + 1)
-    masks = {str(k): piece for k, piece in enumerate(pieces)}
-    rows = distinct.select("fp", F.explode(F.array(*[
-        F.struct(F.lit(path).alias("path"), F.col("fp").bitwiseAND(F.lit(signed(bits))).alias("part"))
-        for path, bits in masks.items()
-    ])).alias("s")).select("fp", "s.path", "s.part")
-    found = None
+
+    def cut(rows: DataFrame) -> DataFrame:
+        return rows.select("mask", "fp").mapInArrow(lambda b: in_shards(b, radius), "mask BIGINT, part BIGINT, fp BIGINT")
+
+    rows, found = cut(distinct.select(F.lit(0).cast("bigint").alias("mask"), "fp")), None
     while True:
         # At most one shard in `shard_rows` rows can be that large; most corpora have none.
-        hot = durable(rows.groupBy("path", "part").agg(F.count("*").alias("n")).filter(F.col("n") > shard_rows).drop("n"))
+        hot = durable(rows.groupBy("mask", "part").agg(F.count("*").alias("n")).filter(F.col("n") > shard_rows).drop("n"))
         any_hot = bool(hot.limit(1).count())
-        cold = rows.join(broadcast_if_small(hot), ["path", "part"], "left_anti") if any_hot else rows
+        cold = rows.join(broadcast_if_small(hot), ["mask", "part"], "left_anti") if any_hot else rows
         made = (
-            cold.repartition("path", "part").sortWithinPartitions("path", "part", "fp")
+            cold.repartition("mask", "part").sortWithinPartitions("mask", "part", "fp")
             .mapInArrow(lambda batches: shard_links(batches, radius), "a BIGINT, b BIGINT")
         )
         found = made if found is None else found.union(made)
         if not any_hot:
             return found
-        deeper, cut = {}, None
-        for path, used in masks.items():
-            free = [b for b in range(BITS) if b not in used]
-            options = [(f"{path}.{k}", used + piece) for k, piece in enumerate(blocks_of(free, radius + 1))]
-            deeper |= dict(options)
-            keys = F.array(*[
-                F.struct(F.lit(p).alias("path"), F.col("fp").bitwiseAND(F.lit(signed(bits))).alias("part")) for p, bits in options
-            ])
-            cut = F.when(F.col("path") == path, keys) if cut is None else cut.when(F.col("path") == path, keys)
-        rows = durable(
-            rows.join(broadcast_if_small(hot), ["path", "part"], "left_semi")
-            .select("fp", F.explode(cut).alias("s")).select("fp", "s.path", "s.part")
-        )
-        masks = deeper
+        rows = durable(cut(rows.join(broadcast_if_small(hot), ["mask", "part"], "left_semi")))
 
 
 def near_groups(docs: DataFrame, words: int = 3, radius: int = 2, shard_rows: int = SHARD_ROWS) -> DataFrame:
