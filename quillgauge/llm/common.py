@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLICE_ROWS = 256
 TRAIN_FOLDS, HELD_FOLD = 5, 0
@@ -47,6 +47,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int)
     return docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id").filter(F.col("text").isNotNull())
 
 
+def with_field(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
+    """The schema of `df` and one more column."""
+    return T.StructType([*df.schema.fields, T.StructField(name, kind)])
+
+
 PARTIALS = "part INT, block INT, data BINARY"
 
 
@@ -59,26 +64,23 @@ def partial_rows(array: np.ndarray, part: int, blocks: int = 16) -> Iterator[pa.
         })
 
 
-def summed(partials: DataFrame, shape: tuple[int, ...]) -> np.ndarray:
-    """Sum of the tasks' arrays in two levels; the size of the result is fixed by `shape`."""
+def add_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row with the sum of a group's arrays, which all belong to one block."""
+    total, block = None, 0
+    for batch in batches:
+        for data, of in zip(batch.column("data"), batch.column("block"), strict=True):
+            piece, block = np.frombuffer(data.as_py(), np.float32), of.as_py()
+            total = piece.astype(np.float64) if total is None else total + piece
+    yield pa.RecordBatch.from_pydict({
+        "part": pa.array([0], pa.int32()), "block": pa.array([block], pa.int32()),
+        "data": pa.array([total.astype(np.float32).tobytes()], pa.binary()),
+    })
 
-    def add(key, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in rows:
-            for data in batch.column("data"):
-                piece = np.frombuffer(data.as_py(), np.float32)
-                total = piece.astype(np.float64) if total is None else total + piece
-        yield pa.RecordBatch.from_pydict({
-            "part": pa.array([0], pa.int32()), "block": pa.array([key[-1].as_py()], pa.int32()),
-            "data": pa.array([total.astype(np.float32).tobytes()], pa.binary()),
-        })
 
-    first = partials.withColumn("part", F.pmod("part", F.lit(16))).groupBy("part", "block").applyInArrow(add, PARTIALS)
-    rows = first.groupBy("block").applyInArrow(add, PARTIALS).collect()
+def summed(partials: DataFrame, shape: tuple[int, ...]) -> np.ndarray:
+    """Sum of the tasks' arrays in two levels; the size of the result is fixed by `shape`."""
+    first = partials.withColumn("part", F.pmod("part", F.lit(32))).groupBy("part", "block").applyInArrow(add_pieces, PARTIALS)
+    rows = first.groupBy("block").applyInArrow(add_pieces, PARTIALS).collect()
     if not rows:
         return np.zeros(shape, np.float32)
     return np.concatenate([np.frombuffer(r["data"], np.float32) for r in sorted(rows, key=lambda r: r["block"])]).reshape(shape)
-
-
-def to_json(**values) -> str:
-    return json.dumps(values, sort_keys=True)

@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgauge.llm import mixing, simhash
-from quillgauge.llm.common import table
+from quillgauge.llm import mixing, quality, simhash
+from quillgauge.llm.common import held_out, table
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), "quality")
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", quality.predicted().alias("predicted"))
 
 
 def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +27,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality": op2_quality,
     "op3_pareto_mix": op3_pareto_mix,
     "op7_simhash": op7_simhash,
 }
