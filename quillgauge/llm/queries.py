@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgauge.llm import decontaminate, html, mixing, quality, simhash, toxicity
+from quillgauge.llm import decontaminate, html, mixing, quality, secrets, simhash, toxicity
 from quillgauge.llm.common import held_out, table
 
 
@@ -38,6 +38,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html.main_text(pages, html.learn(pages)).select("page_id", "url", "text", "n_chars")
@@ -49,5 +53,6 @@ QUERIES = {
     "op3_pareto_mix": op3_pareto_mix,
     "op4_toxicity": op4_toxicity,
     "op7_simhash": op7_simhash,
+    "op8_secrets": op8_secrets,
     "op10_main_text": op10_main_text,
 }
