@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgauge.llm import decontaminate, html, mixing, pii, quality, secrets, simhash, toxicity
+from quillgauge.llm import decontaminate, fingerprint, html, mixing, pii, quality, secrets, simhash, toxicity
 from quillgauge.llm.common import held_out, table
 
 
@@ -37,6 +37,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -57,6 +61,7 @@ QUERIES = {
     "op3_pareto_mix": op3_pareto_mix,
     "op4_toxicity": op4_toxicity,
     "op5_pii": op5_pii,
+    "op6_fingerprint": op6_fingerprint,
     "op7_simhash": op7_simhash,
     "op8_secrets": op8_secrets,
     "op10_main_text": op10_main_text,
