@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgauge.llm import decontaminate, fingerprint, html, mixing, pii, quality, secrets, simhash, toxicity
+from quillgauge.llm import decontaminate, fingerprint, html, mixing, pii, pseudolikelihood, quality, secrets, simhash, toxicity
 from quillgauge.llm.common import held_out, table
 
 
@@ -50,6 +50,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudolikelihood.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html.main_text(pages, html.learn(pages)).select("page_id", "url", "text", "n_chars")
@@ -64,5 +68,6 @@ QUERIES = {
     "op6_fingerprint": op6_fingerprint,
     "op7_simhash": op7_simhash,
     "op8_secrets": op8_secrets,
+    "op9_pseudo_likelihood": op9_pseudo_likelihood,
     "op10_main_text": op10_main_text,
 }
