@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgauge.llm.spans import ROW, joined_spans, matches, near, placed
-from quillgauge.operators.scale import durable
+from quillgauge.operators.scale import broadcast_if_small, durable
 
 SCOPE = 240
 # Possessive forms of the given patterns: they match the same and never go back.
@@ -80,7 +80,7 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     found = durable(parts(docs))
     order = {k: n for n, k in enumerate((*BASE, "name", "endpoint", "random"))}
     base = found.withColumn("kind", F.when(F.col("kind").isin(*BASE), F.col("kind"))).select(ROW, "doc_id", "kind", "start", "stop")
-    weak = linked(found, scope).select(ROW, F.lit(None).cast("bigint").alias("doc_id"), "kind", "start", "stop")
+    weak = linked(found, scope).select(ROW, F.lit(None).cast(found.schema["doc_id"].dataType).alias("doc_id"), "kind", "start", "stop")
     span = F.struct("start", by_kind(order, F.col("kind")).alias("rank"), "kind", "stop")
     # The spans of a row fit where its text did; the id comes from the rows that have it.
     return (
@@ -102,3 +102,34 @@ def digest(docs: DataFrame) -> DataFrame:
         "doc_id", *[count_of("base", k) for k in BASE],
         F.sha2(joined_spans(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined_spans(F.col("spans")).alias("spans"),
     )
+
+
+def redact(docs: DataFrame, scope: int = SCOPE, mask: str = "[secret]") -> DataFrame:
+    """The rows of `docs` with each reported span replaced by `mask`; `n_chars`, if there, follows.
+
+    Spans that overlap are masked as one. Rows without spans stay as they are. The spans, a small
+    part of the text, are joined by id and checksum of the text.
+    """
+    key = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    found = scan(docs.select(key.alias("doc_id"), "text"), scope).filter(F.size("spans") > 0)
+    empty = F.array().cast("array<struct<start:bigint,stop:bigint>>")
+
+    def merge(done, s):
+        last = F.element_at(done, -1)
+        joins = (F.size(done) > 0) & (s["start"] <= last["stop"])
+        wider = F.struct(last["start"].alias("start"), F.greatest(last["stop"], s["stop"]).alias("stop"))
+        return F.when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(wider))).otherwise(
+            F.concat(done, F.array(F.struct(s["start"].alias("start"), s["stop"].alias("stop")))))
+
+    # At most as many spans as the row's text has room for.
+    merged = F.when(F.size("spans") > 0, F.aggregate("spans", empty, merge))
+    spans = durable(found.select(F.col("doc_id.id").alias("_id"), F.col("doc_id.hash").alias("_hash"), merged.alias("_spans")).dropDuplicates(["_id", "_hash"]))
+    begins = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("_spans", lambda s: s["stop"]))
+    ends = F.concat(F.transform("_spans", lambda s: s["start"]), F.array(F.char_length("text").cast("bigint")))
+    pieces = F.zip_with(begins, ends, lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), (b - a).cast("int")))
+    joined = docs.join(broadcast_if_small(spans), docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left")
+    masked = joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join(pieces, mask)))
+    if "n_chars" in docs.columns:
+        size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        masked = masked.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(size))
+    return masked.select(*docs.columns)
