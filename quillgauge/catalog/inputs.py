@@ -119,7 +119,7 @@ def changes_sql(d: Dialect) -> str:
 def attempts_sql(d: Dialect) -> str:
     """One generated message per conversation turn, in sixteen shapes."""
     subj = "concat('Handle ', CAST(turn AS STRING), ' retries in loader')"
-    b = "substring(text, 1, 200)"
+    b = "text"
     nl = "chr(10)"
     return f"""SELECT conv_id AS item_id, turn + 1 AS attempt_no,
       CASE (conv_id * 3 + turn) % 16

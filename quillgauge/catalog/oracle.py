@@ -149,7 +149,7 @@ proposals AS (SELECT b.project, b.path, b.name, b.block_line, b.start_line, b.en
     CASE WHEN b.block_line % 4 = 0 THEN sha256(b.path) ELSE sha256(f.content) END AS base_sha, sha256(f.content) AS now_sha, f.content,
     CASE WHEN b.parent_line IS NULL THEN '' ELSE '    ' END AS pad,
     CASE WHEN b.block_line % 2 = 0 THEN 'cyclomatic' ELSE 'cognitive' END AS metric
-  FROM blocks b JOIN files f USING (path) WHERE b.kind <> 'class' AND b.block_line % 9 = 0),
+  FROM blocks b JOIN files f USING (path) WHERE b.kind <> 'class'),
 worded AS (SELECT *, concat(pad, 'def helper(x):', {NL}, pad, '    if x and x:', {NL}, pad, '        return x', {NL}, {NL},
     pad, 'def ', name, '(self):', {NL}, pad, '    return helper(self)') AS new_text FROM proposals)"""
 
@@ -427,9 +427,11 @@ ORACLE: dict[str, str] = {
       SELECT project, path, sha256(CASE WHEN new_text IS NULL THEN content ELSE concat(CASE WHEN start_line > 1 THEN
         concat(array_to_string(l[1:start_line - 1], {NL}), {NL}) ELSE '' END, new_text, {NL}, array_to_string(l[end_line + 1:], {NL})) END) AS sha FROM pairs""",
     "q_hash_guard": f"""WITH {PROPOSALS} SELECT project, path, name, block_line, CASE WHEN base_sha <> now_sha THEN 'file_modified' END AS reason FROM proposals""",
-    "q_revalidate": f"""WITH {PROPOSALS} SELECT project, path, name, block_line, metric, block_line % 5 <> 0 AND metric = 'cognitive' AS ok,
-      CASE WHEN block_line % 5 = 0 THEN 'brackets do not close' END AS error,
-      CASE WHEN block_line % 5 = 0 THEN '' WHEN metric = 'cyclomatic' THEN concat('helper=3,', name, '=1') ELSE concat('helper=2,', name, '=0') END AS scores FROM proposals""",
+    "q_revalidate": f"""WITH {PROPOSALS}, judged AS (SELECT *, CASE block_line % 12 WHEN 0 THEN 'brackets do not close' WHEN 1 THEN 'not a statement'
+        WHEN 2 THEN 'no code' WHEN 3 THEN 'brackets do not close' WHEN 4 THEN 'brackets do not close' WHEN 5 THEN 'a block is not indented'
+        WHEN 6 THEN 'a quote is not closed' WHEN 7 THEN 'a line is indented without a block' END AS error FROM proposals)
+      SELECT project, path, name, block_line, metric, error IS NULL AND metric = 'cognitive' AS ok, error,
+      CASE WHEN error IS NOT NULL THEN '' WHEN metric = 'cyclomatic' THEN concat('helper=3,', name, '=1') ELSE concat('helper=2,', name, '=0') END AS scores FROM judged""",
     "q_attempt_order": f"WITH {OUTCOMES} SELECT * FROM tried",
     "q_attempt_order_global": f"""WITH {OUTCOMES}, line_up AS (SELECT *, row_number() OVER (ORDER BY value DESC, path, block_line) AS place FROM outcomes)
       SELECT project, path, name, block_line, value, rank, ok FROM line_up WHERE place <= coalesce((SELECT min(place) FROM line_up WHERE ok), place)""",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -95,10 +96,10 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def proposals(spark: SparkSession, sf: str) -> DataFrame:
-    """A replacement for every ninth-line function; every fourth was made from other content."""
+    """A replacement for every function; every fourth was made from other content."""
     files = inputs.files(spark, sf)
     sha = F.sha2("content", 256)
-    wanted = F.filter("blocks", lambda b: b["kind"].isin("def", "async") & (b["line"] % 9 == 0))
+    wanted = F.filter("blocks", lambda b: b["kind"].isin("def", "async"))
     blocks = code.with_blocks(files.withColumn("sha", sha)).select(*KEYS, "sha", F.inline(wanted))
     indent = F.when(F.col("parent_line").isNull(), "").otherwise("    ")
     new = F.concat(
@@ -525,9 +526,18 @@ def q_hash_guard(spark, sf):
     )
 
 
+WRONG_TEXTS = (
+    "Sorry, I cannot refactor this.", " ", "return )x(", "def f(x]:\n    return x", "def f(x):\nreturn x", "def f(x):\n    return 'x",
+    "def f(x):\n    y = 1\n      z = 2\n    return y",
+)
+
+
 def q_revalidate(spark, sf):
     made = proposals(spark, sf).withColumn(
-        "new_text", F.when(F.col("block_line") % 5 == 0, F.concat("new_text", F.lit("("))).otherwise(F.col("new_text"))
+        "new_text", reduce(
+            lambda text, wrong: text.when(F.col("block_line") % 12 == wrong[0], wrong[1]),
+            enumerate(WRONG_TEXTS, 1), F.when(F.col("block_line") % 12 == 0, F.concat("new_text", F.lit("("))),
+        ).otherwise(F.col("new_text"))
     )
     done = gate.revalidate(made, 2)
     return done.select(

@@ -314,10 +314,78 @@ def block_scan(fold: str) -> Column:
     )
 
 
-def bracket_balance(facts: Column) -> Column:
-    """Open minus closed brackets over the file; 0 in a text that can be parsed."""
+_OPERATORS = "and|or|not|in|is|if|else|for|as|import|from|async|await|lambda|with"
+_FIRST = rf"(?:{'|'.join([*v.KEYWORDS, 'match', 'case', 'type', 'print'])})"
+# Two names, or a name and a number, side by side, none of which is a word of the language.
+_PROSE = (
+    rf"(?<![\p{{L}}\p{{N}}_.])(?!{_FIRST}(?![\p{{L}}\p{{N}}_])){NAME}[ \t]+"
+    rf"(?!(?:{_OPERATORS})(?![\p{{L}}\p{{N}}_]))[\p{{L}}\p{{N}}_]"
+)
+_NEEDS_COLON = r"^\s*(?:(?:async\s+)?(?:def|for|with)|class|if|elif|else|while|try|except|finally)(?![\p{L}\p{N}_])"
+
+
+def _brackets(facts: Column) -> Column:
+    """Brackets left open at the end, in order; `!` after a bracket that closes no open one of its kind."""
+    marks = F.regexp_extract_all(F.array_join(F.transform(facts, lambda x: x["code"]), " "), F.lit(r"[()\[\]{}]"), F.lit(0))
+
+    def step(s: Column, m: Column) -> Column:
+        return (
+            F.when(s.startswith("!"), s).when(m.isin("(", "[", "{"), F.concat(s, m))
+            .when(F.concat(F.right(s, F.lit(1)), m).isin("()", "[]", "{}"), F.left(s, F.length(s) - 1)).otherwise("!")
+        )
+
+    return F.aggregate(marks, F.lit(""), step)
+
+
+def _indents(facts: Column) -> Column:
+    """First problem of the indents of logical lines; NULL if there is none.
+
+    A line after a header must be indented deeper than it, no other line may be, and a line
+    that is indented less must have the indent of a line that is still open. Text over several
+    lines may be the whole block (`due` 2: the next line may be deeper or not).
+    """
+    state = "named_struct('depth', 0, 'stack', CAST(array() AS ARRAY<INT>), 'due', 0, 'bad', CAST(NULL AS STRING))"
+
+    def step(s: Column, x: Column) -> Column:
+        starts = (s["depth"] <= 0) & ~x["cont"]
+        depth = F.when(x["kind"] == "code", s["depth"] + x["delta"]).otherwise(s["depth"]).cast("int")
+        kept = F.filter(s["stack"], lambda i: i <= x["indent"])
+        more = rstrip(x["code"]).endswith("\\")
+        top, first = F.element_at(s["stack"], F.lit(-1)), F.size(s["stack"]) == 0
+        deeper = ~first & (x["indent"] > top)
+        bad = (
+            F.when((s["due"] == 1) & ~deeper, "a block is not indented").when((s["due"] == 0) & deeper, "a line is indented without a block")
+            .when(F.regexp_like(x["code"], F.lit(_NEEDS_COLON)) & (x["delta"] == 0) & ~F.contains(x["code"], F.lit(":")) & ~more, "a header has no colon")
+            .when(~first & ~deeper & (F.coalesce(F.element_at(kept, F.lit(-1)), F.lit(-1)) != x["indent"]), "an indent fits no open block")
+        )
+        stack = F.when(first | deeper, F.concat(s["stack"], F.array(x["indent"]))).otherwise(kept)
+        ends = rstrip(F.regexp_replace(x["code"], "#.*$", "")).endswith(":") & (depth <= 0)
+        coded, told = x["kind"] == "code", (x["kind"] == "multi") & (s["due"] == 1)
+        return F.struct(
+            depth.alias("depth"), F.when(coded & starts, stack).otherwise(s["stack"]).alias("stack"),
+            F.when(coded, ends.cast("int")).when(told, 2).otherwise(s["due"]).alias("due"), F.coalesce(s["bad"], F.when(coded & starts, bad)).alias("bad"),
+        )
+
     return F.aggregate(
-        facts, F.lit(0), lambda n, x: n + x["delta"]
+        facts, F.expr(state), step,
+        lambda s: F.coalesce(s["bad"], F.when(s["due"] == 1, "a block is not indented")),
+    )
+
+
+def syntax_problem(facts: Column) -> Column:
+    """Why a text cannot be a piece of code, or NULL: a check inside the row, not a parser.
+
+    Brackets of each kind must close in order, quotes must close, indents must follow headers,
+    headers need their colon, and no line may hold two words side by side as prose does. A
+    text may start at any indent, as a method does.
+    """
+    brackets = _brackets(facts)
+    coded = F.filter(facts, lambda x: x["kind"] == "code")
+    quote = F.exists(facts, lambda x: F.regexp_like(F.regexp_replace(F.regexp_replace(x["code"], "#.*$", ""), r'""', ""), F.lit("[\"']")))
+    prose = F.exists(coded, lambda x: F.regexp_like(x["code"], F.lit(_PROSE)) | F.regexp_like(rstrip(x["code"]), F.lit(r"[\p{L}_\])]\.$")))
+    return (
+        F.when(brackets != "", "brackets do not close").when(quote, "a quote is not closed")
+        .when(prose, "not a statement").otherwise(_indents(facts))
     )
 
 

@@ -219,8 +219,8 @@ def revalidate(
 ) -> DataFrame:
     """Adds `scores` of every block in the new text and `ok`: all of them within the limit.
 
-    Each proposal is measured by the metric it names. No block passes; a text whose brackets
-    do not close fails with an error.
+    Each proposal is measured by the metric it names. A text without code, and one that
+    cannot be code (`code.syntax_problem`), fails with the reason in `error`.
     """
     by_metric = {
         "cyclomatic": (
@@ -240,13 +240,15 @@ def revalidate(
     kept = [F.col(x) for x in proposals.columns if x not in ("scores", "ok", "error", "content")]
     measured = ops.with_blocks(proposals.select(*kept, F.col(text).alias("content")))
     found = F.when(F.col(metric) == "cyclomatic", scored("cyclomatic")).otherwise(scored("cognitive"))
-    parsed = c.bracket_balance(F.col("facts")) == 0
-    rows = measured.select(*kept, found.alias("scores"), parsed.alias("parsed"))
+    coded = F.exists("facts", lambda x: x["kind"] == "code")
+    problem = F.when(F.coalesce(coded, F.lit(False)), c.syntax_problem(F.col("facts"))).otherwise("no code")
+    rows = measured.select(*kept, found.alias("scores"), problem.alias("error"))
+    parsed = F.col("error").isNull()
     return rows.select(
         *kept,
-        F.when(F.col("parsed"), F.col("scores")).otherwise(F.slice("scores", 1, 0)).alias("scores"),
-        (F.col("parsed") & F.forall("scores", lambda s: s["value"] <= limit)).alias("ok"),
-        F.when(~F.col("parsed"), "brackets do not close").alias("error"),
+        F.when(parsed, F.col("scores")).otherwise(F.slice("scores", 1, 0)).alias("scores"),
+        (parsed & F.coalesce(F.forall("scores", lambda s: s["value"] <= limit), F.lit(False))).alias("ok"),
+        "error",
     )
 
 

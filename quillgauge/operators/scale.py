@@ -14,10 +14,12 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the session names; a local one only where none is named."""
+    """Use the shared folder the session names; one of this machine only if all work is done here."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.split("[")[0] == "local":
+            raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillgauge-"))
 
 
@@ -94,12 +96,9 @@ def position(
 def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int, name: str = "pos") -> DataFrame:
     """First `n` rows per group; Spark drops the others before the shuffle.
 
-    Spark does so up to a limit it takes from the session, which is raised to `n` if need be:
-    without it a large group would be shuffled whole to one task just to be cut there.
+    Spark does so for an `n` up to spark.sql.optimizer.windowGroupLimitThreshold (1000 if unset),
+    which a caller with a larger one should raise in the session.
     """
-    conf, name_of_limit = df.sparkSession.conf, "spark.sql.optimizer.windowGroupLimitThreshold"
-    if n > int(conf.get(name_of_limit, "1000")):
-        conf.set(name_of_limit, str(n))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn(name, rank).filter(F.col(name) <= n)
 
