@@ -365,7 +365,7 @@ ORACLE: dict[str, str] = {
     "q_changes": f"""WITH {CHANGES} SELECT repo, path, CASE WHEN is_binary THEN greatest(1, size) ELSE greatest(1, (added + deleted) * {v.WEIGHT_PER_LINE}) END AS weight,
         0 AS source FROM changes WHERE NOT untracked
       UNION ALL SELECT repo, path, greatest(1, size), 1 FROM changes WHERE untracked""",
-    "q_name_status": f"WITH {CHANGES} SELECT repo, {top('path')} AS path, min(size) AS size FROM changes WHERE NOT untracked AND contains(path, '/') GROUP BY ALL",
+    "q_name_status": f"WITH {CHANGES} SELECT repo, status, path, min(size) AS size FROM changes WHERE NOT untracked GROUP BY ALL",
     "q_large": f"""WITH {WEIGHTED} SELECT repo, count(*) AS n_files, CAST(sum(weight) AS BIGINT) AS weight,
       count(*) > {v.MAX_BATCH_FILES} OR sum(weight) > {v.MAX_BATCH_CHARS} AS large FROM weighted GROUP BY repo""",
     "q_batches": f"WITH {BATCHES} SELECT repo, path, weight, batch_id, batch_pos, batch_n FROM batches",
@@ -416,11 +416,11 @@ ORACLE: dict[str, str] = {
           CAST(length(regexp_extract(source, '^( *)', 1)) AS STRING), {q(v.REWRITE_NEEDS_TAIL)}, {NL}, {NL}, context, {NL}, {NL},
           'Function to refactor:', {NL}, '```python', {NL}, source, '```')) AS prompt_sha,
         sha256(concat({q(v.REWRITE_ROLE)}, {NL}, {NL}, 'Metric: ', metric, ' complexity.', {NL}, {METRIC_TEXT}, {NL}, {NL}, {q(v.REWRITE_RULES)})) AS system_sha FROM fb""",
-    "q_reindent": f"""WITH {FILES}, cut AS (SELECT project, path, string_split(content, '(self):') AS bits FROM files),
-      tails AS (SELECT project, path, bits[least(len(bits), 4)] AS tail FROM cut),
+    "q_reindent": f"""WITH {FILE_BLOCKS}, tails AS (SELECT b.project, b.path, b.name, b.block_line,
+        array_to_string(string_split(f.content, {NL})[b.start_line:b.end_line], {NL}) AS tail FROM blocks b JOIN files f USING (path) WHERE b.kind <> 'class'),
       led AS (SELECT *, list_filter(string_split(tail, {NL}), lambda l: {strip('l')} <> '')[1] AS lead FROM tails),
       based AS (SELECT *, coalesce(length(lead) - length(ltrim(lead)), 0) AS indent FROM led)
-      SELECT project, path, indent, sha256(array_to_string(list_transform(string_split(tail, {NL}), lambda l: CASE WHEN {strip('l')} <> '' AND
+      SELECT project, path, name, block_line, indent, sha256(array_to_string(list_transform(string_split(tail, {NL}), lambda l: CASE WHEN {strip('l')} <> '' AND
         starts_with(l, repeat(' ', indent)) THEN concat('  ', substring(l, indent + 1)) ELSE l END), {NL})) AS sha FROM based""",
     "q_splice": f"""WITH {PROPOSALS}, one AS (SELECT * FROM worded QUALIFY row_number() OVER (PARTITION BY path ORDER BY block_line) = 1),
       pairs AS (SELECT f.project, f.path, f.content, string_split(f.content, {NL}) AS l, o.start_line, o.end_line, o.new_text FROM files f LEFT JOIN one o USING (path))

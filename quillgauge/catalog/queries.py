@@ -331,7 +331,7 @@ def q_name_status(spark, sf):
     parsed = changelog.parse_name_status(
         lines.select("repo", "size", F.col("name_status").alias("value"))
     )
-    return batching.distinct_paths(parsed.withColumn("path", t.top_dir(F.col("path"))).filter("path IS NOT NULL"), ["repo"], "size").select("repo", "path", "size")
+    return batching.distinct_paths(parsed, ["repo", "status"], "size").select("repo", "status", "path", "size")
 
 
 def q_large(spark, sf):
@@ -504,11 +504,14 @@ def q_rewrite_prompts(spark, sf):
 
 
 def q_reindent(spark, sf):
-    rows = inputs.files(spark, sf).select(*KEYS, F.substring_index("content", "(self):", 4).alias("part"))
-    tail = F.element_at(F.split("part", r"\(self\):"), -1)
-    return rows.select(
-        *KEYS, F.length(t.detect_indent(tail)).cast("bigint").alias("indent"),
-        F.sha2(t.reindent(tail, F.lit("  ")), 256).alias("sha"),
+    """Every function's own text, moved to an indent of two."""
+    files = inputs.files(spark, sf)
+    wanted = F.filter("blocks", lambda b: b["kind"].isin("def", "async"))
+    lines = code.with_blocks(files).select(*KEYS, F.split("content", "\n").alias("lines"), F.inline(wanted))
+    part = F.array_join(F.slice("lines", F.col("start"), F.col("end") - F.col("start") + 1), "\n")
+    return lines.withColumn("part", part).select(
+        *KEYS, "name", F.col("line").alias("block_line"), F.length(t.detect_indent(F.col("part"))).cast("bigint").alias("indent"),
+        F.sha2(t.reindent(F.col("part"), F.lit("  ")), 256).alias("sha"),
     )
 
 

@@ -12,8 +12,6 @@ from quillgauge.operators.budget import pack_excerpts, untracked_snippets
 from quillgauge.operators.scale import HOT_GROUP_ROWS, concat_rows, position
 
 BUNDLE_FIELDS = ["porcelain", "name_status", "diff_stat", "diff_sample", "untracked_note"]
-# A bundle is one cell; a listing above this size is left in its runs instead.
-MAX_CELL_CHARS = 256 * 1024 * 1024
 
 
 def judged(attempts: DataFrame, repo: Column, raw: str = "raw") -> DataFrame:
@@ -82,29 +80,16 @@ def bundle_runs(changes: DataFrame, keys: list[str], hot_rows: int = HOT_GROUP_R
 def bundles(
     changes: DataFrame, keys: list[str], branch: str = "main",
     max_diff_chars: int = v.MAX_DIFF_CHARS, hot_rows: int = HOT_GROUP_ROWS,
-    max_cell_chars: int = MAX_CELL_CHARS,
 ) -> DataFrame:
     """One change record per group: listings, diff excerpts, untracked note and modal directory.
 
     `changes` are compacted, and best written out, as several branches read them; `keys`
-    starts with `repo`. A group whose listings do not fit a cell gets NULL listings and
-    a `problem`; `bundle_runs` still gives them whole.
+    starts with `repo`. Listings are whole at any size: a prompt is one text, so what goes
+    into it is one cell; `bundle_runs` gives the same as ordered runs.
     """
-    runs = bundle_runs(changes, keys, hot_rows)
     listing = BUNDLE_FIELDS[:3]
-    sizes = runs.groupBy(*keys).agg(
-        F.sum(sum((F.coalesce(F.length(c), F.lit(0)) for c in listing), F.lit(0))).alias("_chars")
-    )
-    fits = F.col("_chars") <= max_cell_chars
-    sized = runs.join(sizes, keys)
-    joined = concat_rows(sized.filter(fits), keys, "run", listing)
-    joined = joined.select(*keys, *[F.coalesce(c, F.lit("")).alias(c) for c in listing])
-    oversize = sizes.filter(~fits).select(
-        *keys, *[F.lit(None).cast("string").alias(c) for c in listing]
-    )
-    listings = joined.withColumn("problem", F.lit(None).cast("string")).unionByName(
-        oversize.withColumn("problem", F.lit("listing is larger than a cell"))
-    )
+    joined = concat_rows(bundle_runs(changes, keys, hot_rows), keys, "run", listing)
+    listings = joined.select(*keys, *[F.coalesce(c, F.lit("")).alias(c) for c in listing])
     tracked = changes.filter(~F.col("untracked"))
     notes = untracked_snippets(changes.filter("untracked"), keys)
     return (
@@ -137,5 +122,4 @@ def render_bundle(level: str, repo: Column | None = None) -> Column:
     else:
         paths = F.array_join(F.slice("untracked_paths", 1, v.MAX_UNTRACKED), "\n")
         tail = [F.concat(F.lit(titles[level] + "\n"), F.nullif(paths, F.lit("")))]
-    text = F.concat_ws("\n", *head, *tail)
-    return F.when(F.col("porcelain").isNotNull(), text)
+    return F.concat_ws("\n", *head, *tail)
