@@ -122,7 +122,7 @@ nested AS (SELECT s.path, s.ln, count(*) AS n FROM spans s JOIN controls c ON c.
     JOIN controls o ON o.path = s.path AND o.ln >= s.ln AND o.ln < c.ln AND o.closer > c.ln GROUP BY s.path, s.ln),
 bool_runs AS (SELECT s.path, s.ln, sum(r.runs) AS n FROM spans s JOIN run_counts r ON r.path = s.path AND r.ln >= s.ln AND r.ln < s.closer
     GROUP BY s.path, s.ln),
-blocks AS (SELECT s.project, s.path, s.name, s.bkind AS kind, s.ln AS block_line, st.start_line, e.end_line, p.parent_line,
+blocks AS MATERIALIZED (SELECT s.project, s.path, s.name, s.bkind AS kind, s.ln AS block_line, st.start_line, e.end_line, p.parent_line,
     pk.bkind AS parent_kind, CAST(o.own AS BIGINT) AS own, CAST(t.total AS BIGINT) AS total,
     CAST(coalesce(c.n, 0) + coalesce(n.n, 0) + coalesce(b.n, 0) AS BIGINT) AS cognitive
   FROM spans s JOIN ends e USING (path, ln) JOIN starts st USING (path, ln) JOIN parents p USING (path, ln)

@@ -236,27 +236,22 @@ def q_text_paths(spark, sf):
 
 def q_located(spark, sf):
     blocks = code.blocks(inputs.files(spark, sf))
-    found, missed = gate.locate(gate.over_limit(code.cyclomatic(blocks), 3), blocks)
-    columns = [*gate.BLOCK_KEY, "value", "located"]
-    return found.withColumn("located", F.lit(True)).select(*columns).unionByName(
-        missed.withColumn("located", F.lit(False)).select(*columns)
-    )
+    return gate.located(gate.over_limit(code.cyclomatic(blocks), 3), blocks).select(*gate.BLOCK_KEY, "value", "located")
 
 
 def q_block_lines(spark, sf):
-    files = inputs.files(spark, sf)
-    worst = code.blocks(files).filter(F.col("kind").isin("def", "async") & (F.col("total") > 15))
-    return gate.block_lines(worst, code.lines(files))
+    return code.lines_of_blocks(
+        inputs.files(spark, sf), lambda b: b["kind"].isin("def", "async") & (b["total"] > 15)
+    )
 
 
 def q_with_class(spark, sf):
-    found = gate.with_class(code.blocks(inputs.files(spark, sf)))
-    return found.select(*gate.BLOCK_KEY, "class_name")
+    return code.functions_in_classes(inputs.files(spark, sf))
 
 
 def q_siblings(spark, sf):
-    found = gate.siblings(code.blocks(inputs.files(spark, sf)), 5)
-    return found.select(*gate.BLOCK_KEY, "sibling_line", "sibling")
+    found = code.functions_in_classes(inputs.files(spark, sf), 5)
+    return found.select(*gate.BLOCK_KEY, F.inline(F.transform("siblings", lambda s: s)))
 
 
 def q_statements(spark, sf):

@@ -99,6 +99,50 @@ def maintainability(files: DataFrame, count_multi: bool = True) -> DataFrame:
     )
 
 
+def lines_of_blocks(files: DataFrame, wanted) -> DataFrame:
+    """The lines of each block that `wanted` keeps, from its first decorator on.
+
+    A file's row has both its blocks and its lines: a block's lines are a slice, so only
+    they are exploded, and nothing is joined or shuffled.
+    """
+    kept = F.transform(
+        F.filter("blocks", wanted),
+        lambda b: F.struct(
+            b["name"].alias("name"), b["line"].alias("block_line"),
+            F.transform(
+                F.slice("facts", b["start"], b["end"] - b["start"] + 1),
+                lambda x: F.struct(x["ln"].alias("line_no"), x["raw"].alias("raw")),
+            ).alias("own_lines"),
+        ),
+    )
+    found = with_blocks(files).select(*KEYS, F.inline(kept))
+    return found.select(*KEYS, "name", "block_line", F.inline("own_lines"))
+
+
+def functions_in_classes(files: DataFrame, siblings: int = 0) -> DataFrame:
+    """Each function with the class it is a direct member of (NULL outside one), from its file's row.
+
+    `siblings` names how many other functions of that class to list, in line order.
+    """
+    functions = F.filter("blocks", lambda b: b["kind"].isin("def", "async"))
+    classes = F.filter("blocks", lambda b: b["kind"] == "class")
+
+    def others(b):
+        same = F.filter(
+            functions,
+            lambda o: (o["parent_line"] == b["parent_line"]) & (b["parent_kind"] == "class") & (o["line"] != b["line"]),
+        )
+        named = F.transform(same, lambda o: F.struct(o["line"].alias("sibling_line"), o["name"].alias("sibling")))
+        return F.slice(F.array_sort(named), 1, siblings)
+
+    shown = F.transform(functions, lambda b: F.struct(
+        b["name"].alias("name"), b["line"].alias("block_line"),
+        F.get(F.transform(F.filter(classes, lambda c: c["line"] == b["parent_line"]), lambda c: c["name"]), F.lit(0)).alias("class_name"),
+        *([others(b).alias("siblings")] if siblings else []),
+    ))
+    return with_blocks(files).select(*KEYS, F.inline(shown))
+
+
 def blocks(files: DataFrame) -> DataFrame:
     """One row per function and class: place, parent and its own, total and cognitive scores.
 
