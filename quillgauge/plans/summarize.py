@@ -31,7 +31,7 @@ def _summaries(groups: DataFrame, keys: list[str], fn: Generator, system: str, h
         t.summary_prompt(F.col("repo"), render_bundle("full")).alias("prompt"),
         F.lit(system).alias("system"),
     )
-    answers = durable(generate(prompts, fn).drop("prompt", "system"))
+    answers = durable(generate(prompts, fn, blank=True).drop("prompt", "system"))
     line = t.clean_summary_line(F.coalesce("raw", F.lit("")))
     return answers.withColumn("line", line).withColumn(
         "problem", t.summary_problem(F.col("line"), F.col("repo"))
@@ -103,7 +103,7 @@ def reduce_lines(
         F.lit(systems.get("reduce", ""))
     )
     answers = durable(
-        generate(rows.withColumn("prompt", prompt).withColumn("system", system), fn).drop("prompt", "system")
+        generate(rows.withColumn("prompt", prompt).withColumn("system", system), fn, blank=True).drop("prompt", "system")
     )
     raw = F.coalesce("raw", F.lit(""))
     answers = answers.withColumn("subject", t.clean_summary_line(raw)).withColumn(

@@ -247,3 +247,41 @@ def test_large_file(spark):
     text = "".join(f"def f{i}(x):\n    if x and {i}:\n        return [\n            1,\n        ]\n\n" for i in range(4000))
     got = code.blocks(files(spark, text)).agg(F.count("*"), F.sum("total"), F.max("end_line")).first()
     assert tuple(got) == (4000, 12000, 6 * 4000 - 1)
+
+
+WRONG = {
+    "def f(x]:\n  pass": "brackets do not close", "x = (1": "brackets do not close", ")(": "brackets do not close", "Sorry, no.": "not a statement",
+    "I am 5 years": "not a statement", "Done.": "not a statement", "if x\n    y": "a header has no colon", 'x = "abc': "a quote is not closed",
+    "for a in b:\n    c\n  d": "an indent fits no open block", "class A:\n": "a block is not indented", "x = 1\n  y = 2": "a line is indented without a block",
+}
+RIGHT = ["    def f(self):\n        return x\n", "match x:\n    case 1:\n        pass", "x = [\n  1,\n]\nprint(x if y else z)", 'class A:\n    """Text."""\n', ""]
+
+
+def test_syntax_problems(spark):
+    import pathlib
+
+    from quillgauge.functions import code as columns
+
+    own = [(str(p), p.read_text()) for p in pathlib.Path(__file__).parents[1].glob("quillgauge/**/*.py")]
+    data = [("p", path, text) for path, text in [*own, *[(f"r{k}", x) for k, x in enumerate(RIGHT)], *[(x, x) for x in WRONG]]]
+    found = code.with_blocks(spark.createDataFrame(data, "project STRING, path STRING, content STRING"))
+    got = {r["path"]: r["problem"] for r in found.select("path", columns.syntax_problem(F.col("facts")).alias("problem")).collect()}
+    assert {k: got[k] for k in WRONG} == WRONG
+    assert {p: k for p, k in got.items() if p not in WRONG and k} == {}
+
+
+def test_in_row_forms_equal_the_joins(spark):
+    text = "class A:\n    def m(self):\n        return 1\n    @d\n    def n(self):\n        def q():\n            pass\ndef f():\n    pass\n"
+    files = spark.createDataFrame([("p", "a.py", text), ("p", "b.py", "")], "project STRING, path STRING, content STRING")
+    found = code.blocks(files)
+
+    def listed(df):
+        return sorted(str(tuple(r)) for r in df.collect())
+
+    functions = found.filter("kind IN ('def', 'async')")
+    assert listed(gate.block_lines(functions, code.lines(files)).select("name", "block_line", "line_no", "raw")) == listed(
+        code.lines_of_blocks(files, lambda b: b["kind"].isin("def", "async")).select("name", "block_line", "line_no", "raw"))
+    both = code.functions_in_classes(files, 3)
+    assert listed(gate.with_class(found).select("name", "block_line", "class_name")) == listed(both.select("name", "block_line", "class_name"))
+    assert listed(gate.siblings(found, 3).select("name", "block_line", "sibling_line", "sibling")) == listed(
+        both.select("name", "block_line", F.inline(F.transform("siblings", lambda s: s))))

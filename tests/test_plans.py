@@ -22,11 +22,22 @@ def test_generate_reports_failed_calls(spark):
     def fn(prompt, system):
         if prompt == "bad":
             raise ValueError("no")
-        return prompt.upper() + system
-
-    df = spark.createDataFrame([(1, "a", "!"), (2, "bad", ""), (3, None, "")], "i INT, prompt STRING, system STRING")
-    got = {r["i"]: (r["raw"], r["call_error"]) for r in generate(df, fn).collect()}
-    assert got == {1: ("A!", None), 2: (None, "ValueError: no"), 3: (None, None)}
+        return {"none": None, "blank": " \n", "number": 7}.get(prompt, prompt.upper() + system)
+
+    asked = [(1, "a", "!"), (2, "bad", ""), (3, None, ""), (4, "none", ""), (5, "blank", ""), (6, "number", "")]
+    got = {r["i"]: (r["raw"], r["call_error"]) for r in generate(spark.createDataFrame(asked, "i INT, prompt STRING, system STRING"), fn).collect()}
+    no_text = (None, "the answer holds no text")
+    assert got == {1: ("A!", None), 2: (None, "ValueError: no"), 3: (None, "no prompt"), 4: no_text, 5: no_text, 6: no_text}
+
+
+@pytest.mark.parametrize("answer", ["", None, "Sorry, I cannot refactor this.", "return )x(", "def f(x):\nreturn x"])
+def test_bad_answers_leave_files_unchanged(spark, answer):
+    body = "".join(f"    if a{k}:\n        b()\n" for k in range(16))
+    files = spark.createDataFrame([("p", "a.py", f"def f(x):\n{body}"), ("p", "b.py", "x = 1\n")], "project STRING, path STRING, content STRING")
+    after, outcomes = rewrite_corpus(files, lambda p, s: answer, passes=1)
+    assert sorted(map(tuple, after.collect())) == sorted(map(tuple, files.collect()))
+    rows = outcomes.collect()
+    assert len(rows) == 1 and not rows[0]["ok"] and rows[0]["reason"]
 
 
 def test_escalation_levels(spark):
