@@ -59,10 +59,17 @@ def split_good_bad(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]
 
 
 def unreadable(content: Column) -> Column:
-    """Reason a file cannot be scored, or NULL: no text, or brackets that do not close."""
+    """Reason a file cannot be scored, or NULL: no text, or text that cannot be code."""
     text = c.normalize_breaks(content)
-    balance = c.bracket_balance(c.line_facts(text, c.blank_text(text)))
-    return F.when(content.isNull(), "unreadable").when(balance != 0, "unbalanced brackets")
+    # A one-element array binds the facts to a name, so that they are computed once.
+    facts = F.array(c.line_facts(text, c.blank_text(text)))
+    problem = F.element_at(F.transform(facts, c.syntax_problem), 1)
+    return F.when(content.isNull(), "unreadable").otherwise(problem)
+
+
+def split_parsable(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files that can be measured, and the skipped ones with the reason: one check for every metric."""
+    return split_good_bad(files, unreadable(F.col("content")))
 
 
 # --- violations -------------------------------------------------------------------------

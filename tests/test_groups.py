@@ -237,7 +237,7 @@ def test_quarantine(spark):
     df = spark.createDataFrame([("a", "x = (1"), ("b", None), ("c", "x = '('")], "path STRING, content STRING")
     good, bad = gate.split_good_bad(df, gate.unreadable(F.col("content")))
     assert rows(good.select("path")) == [("c",)]
-    assert sorted(rows(bad.select("path", "reason"))) == [("a", "unbalanced brackets"), ("b", "unreadable")]
+    assert sorted(rows(bad.select("path", "reason"))) == [("a", "brackets do not close"), ("b", "unreadable")]
 
 
 def test_runs(spark):
