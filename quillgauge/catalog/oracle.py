@@ -363,7 +363,7 @@ ORACLE: dict[str, str] = {
     "q_quarantine": f"""WITH {RESPONSES}, e AS (SELECT item_id, attempt_no, {envelope('r', '$.response')} FROM responses)
       SELECT item_id, attempt_no, r_error AS reason FROM e WHERE r_error IS NOT NULL""",
     "q_quarantine_files": f"""WITH {FILES}, numbered AS (SELECT *, CAST(regexp_extract(path, 'mod(\\d+)', 1) AS BIGINT) % 10 AS n FROM files)
-      SELECT project, path, CASE n WHEN 0 THEN 'brackets do not close' WHEN 1 THEN 'not a statement' WHEN 2 THEN 'a block is not indented' END AS reason,
+      SELECT project, path, CASE n WHEN 0 THEN 'brackets do not close' WHEN 1 THEN 'not a statement' WHEN 2 THEN 'a quote is not closed' END AS reason,
         CASE WHEN n > 2 THEN CAST(len(string_split(content, {NL})) - CASE WHEN ends_with(content, {NL}) THEN 1 ELSE 0 END AS BIGINT) END AS loc FROM numbered""",
     "q_changes": f"""WITH {CHANGES} SELECT repo, path, CASE WHEN is_binary THEN greatest(1, size) ELSE greatest(1, (added + deleted) * {v.WEIGHT_PER_LINE}) END AS weight,
         0 AS source FROM changes WHERE NOT untracked

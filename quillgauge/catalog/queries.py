@@ -315,7 +315,7 @@ def broken_files(spark: SparkSession, sf: str) -> DataFrame:
     spoilt = (
         F.when(number == 0, F.concat("content", F.lit("\n)\n")))
         .when(number == 1, F.concat(F.lit("Sorry, this file was removed\n"), "content"))
-        .when(number == 2, F.concat("content", F.lit("\ndef late():\n"))).otherwise(F.col("content"))
+        .when(number == 2, F.concat("content", F.lit("\nx = 'open\n"))).otherwise(F.col("content"))
     )
     return inputs.files(spark, sf).withColumn("content", spoilt)
 

@@ -372,12 +372,13 @@ def _indents(facts: Column) -> Column:
     )
 
 
-def syntax_problem(facts: Column) -> Column:
+def syntax_problem(facts: Column, indents: bool = True) -> Column:
     """Why a text cannot be a piece of code, or NULL: a check inside the row, not a parser.
 
     Brackets of each kind must close in order, quotes must close, indents must follow headers,
     headers need their colon, and no line may hold two words side by side as prose does. A
-    text may start at any indent, as a method does.
+    text may start at any indent, as a method does. Without `indents` headers and indents
+    are not looked at.
     """
     brackets = _brackets(facts)
     coded = F.filter(facts, lambda x: x["kind"] == "code")
@@ -385,7 +386,7 @@ def syntax_problem(facts: Column) -> Column:
     prose = F.exists(coded, lambda x: F.regexp_like(x["code"], F.lit(_PROSE)) | F.regexp_like(rstrip(x["code"]), F.lit(r"[\p{L}_\])]\.$")))
     return (
         F.when(brackets != "", "brackets do not close").when(quote, "a quote is not closed")
-        .when(prose, "not a statement").otherwise(_indents(facts))
+        .when(prose, "not a statement").otherwise(_indents(facts) if indents else F.lit(None).cast("string"))
     )
 
 

@@ -59,11 +59,14 @@ def split_good_bad(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]
 
 
 def unreadable(content: Column) -> Column:
-    """Reason a file cannot be scored, or NULL: no text, or text that cannot be code."""
+    """Reason a file cannot be scored, or NULL: no text, or text that cannot be code.
+
+    Indents are left out: blocks are measured by them, whatever they are.
+    """
     text = c.normalize_breaks(content)
     # A one-element array binds the facts to a name, so that they are computed once.
     facts = F.array(c.line_facts(text, c.blank_text(text)))
-    problem = F.element_at(F.transform(facts, c.syntax_problem), 1)
+    problem = F.element_at(F.transform(facts, lambda f: c.syntax_problem(f, indents=False)), 1)
     return F.when(content.isNull(), "unreadable").otherwise(problem)
 
 
