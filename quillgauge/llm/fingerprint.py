@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 SAMPLES = 32
 RANGE_ROWS = 4_000
-SPACES = r"[\x20\x09-\x0D]+"
 # A sample is one number: ln a in fixed point above TAG bits that tell word and t apart.
 SHIFT, SCALE, TAG = 100.0, float(1 << 32), 23
 
@@ -77,14 +76,23 @@ def uniform(bits: Column, shift: int, width: int) -> Column:
     return (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << width) - 1)).cast("double") + 0.5) / float(1 << width)
 
 
-def sample_of(weight: Column, first: Column, second: Column) -> Column:
-    """One word's packed sample for a weight, from the two hashes of word and position."""
+def with_draws(rows: DataFrame) -> DataFrame:
+    """What a word has in each position, whatever its weight: r, ln c - r, b and bits of its own."""
+    first, second = F.col("first"), F.col("second")
+    drawn = rows.withColumn("first", F.xxhash64("h", "k")).withColumn("second", F.xxhash64("first"))
     r = -F.log(uniform(first, 0, 31) * uniform(first, 32, 31))
-    log_c = F.log(-F.log(uniform(second, 0, 22) * uniform(second, 22, 22)))
-    b = uniform(second, 44, 20)
-    t = F.floor(F.log(weight.cast("double")) / r + b)
-    log_a = log_c - r * (t - b + 1)
-    tag = F.xxhash64(first, t).bitwiseAND(F.lit((1 << TAG) - 1))
+    return drawn.select(
+        *rows.columns, "first", r.alias("r"), F.log(-F.log(uniform(second, 0, 22) * uniform(second, 22, 22))).alias("log_c"),
+        uniform(second, 44, 20).alias("b"),
+    )
+
+
+def sample_of(log_weight: Column) -> Column:
+    """One word's packed sample for the logarithm of its weight; null for no weight."""
+    t = F.floor(log_weight / F.col("r") + F.col("b"))
+    log_a = F.col("log_c") - F.col("r") * (t - F.col("b") + 1)
+    # The tag follows from word, position and t; the factor is odd, so different t differ in it.
+    tag = F.col("first").bitwiseXOR(t * F.lit(0x5BD1E995)).bitwiseAND(F.lit((1 << TAG) - 1))
     return F.shiftleft(((log_a + SHIFT) * SCALE).cast("bigint"), TAG) + tag
 
 
@@ -94,20 +102,19 @@ def fingerprints(rows: DataFrame, texts: dict[str, Column], samples: int = SAMPL
     The rows must be partitioned by `range`; then nothing here shuffles.
     """
     names = list(texts)
-    which = F.explode(F.array(*[F.struct(F.lit(k).alias("which"), c.alias("t")) for k, c in enumerate(texts.values())]))
+    # One kind of white space, so that a split needs no regular expression.
+    plain = [F.translate(c, "\t\n\x0b\f\r", "     ") for c in texts.values()]
+    which = F.explode(F.array(*[F.struct(F.lit(k).alias("which"), c.alias("t")) for k, c in enumerate(plain)]))
     words = (
         rows.select("range", "nth", which.alias("v"))
-        .select("range", "nth", "v.which", F.explode(F.split("v.t", SPACES)).alias("word"))
+        .select("range", "nth", "v.which", F.explode(F.split("v.t", " ")).alias("word"))
         .filter("word <> ''").select("range", "nth", F.xxhash64("word").alias("h"), "which")
     )
     counts = words.groupBy("range", "nth", "h").agg(*[F.sum((F.col("which") == k).cast("int")).alias(f"w{k}") for k in range(len(names))])
-    drawn = (
-        counts.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("k"))
-        .withColumn("first", F.xxhash64("h", "k")).withColumn("second", F.xxhash64("first"))
-    )
-    least = drawn.groupBy("range", "nth", "k").agg(*[
-        F.min(F.when(F.col(f"w{n}") > 0, sample_of(F.col(f"w{n}"), F.col("first"), F.col("second")))).alias(name) for n, name in enumerate(names)
-    ])
+    # The logarithm of a count is taken once, not in each position; of 0 it is null.
+    logs = counts.select("range", "nth", "h", *[F.log(F.col(f"w{k}").cast("double")).alias(f"w{k}") for k in range(len(names))])
+    drawn = with_draws(logs.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("k")))
+    least = drawn.groupBy("range", "nth", "k").agg(*[F.min(sample_of(F.col(f"w{n}"))).alias(name) for n, name in enumerate(names)])
     return least.groupBy("range", "nth").agg(F.array_sort(F.collect_list(F.struct("k", *names))).alias("rows")).select(
         "range", "nth", *[F.when(F.col("rows")[0][name].isNotNull(), F.col(f"rows.{name}")).alias(name) for name in names]
     )
