@@ -149,6 +149,35 @@ def test_leaks_are_found_and_clean_documents_left(spark, documents, sf, edge, no
     assert decontaminate.leaks(nothing, benchmark).collect() == [] and decontaminate.leaks(edge, benchmark.limit(0)).collect() == []
 
 
+def planted_items(documents, number, longest, keep):
+    """Items cut from documents, and hosts with a paraphrase of each at a random place."""
+    rng = random.Random(12)
+    words = [w for w in (re.findall(r"\w+", (r["text"] or "").lower()) for r in documents.orderBy("doc_id").collect()) if len(w) > 80]
+    sources, hosts, items, rows = words[: len(words) // 2], words[len(words) // 2 :], [], []
+    for n in range(number):
+        own = rng.choice(sources)
+        size = rng.randrange(15, longest)
+        start = rng.randrange(len(own) - size)
+        items.append((n, " ".join(own[start : start + size])))
+        if n % 8 == 0:
+            host, at = rng.choice(hosts), rng.randrange(60)
+            rows.append((n, " ".join([*host[:at], *[w for w in own[start : start + size] if n % 16 or rng.random() < keep], *host[at:]])))
+    return items, rows
+
+
+def recall(spark, items, rows):
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(
+        spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), spark.createDataFrame(items, "item_id BIGINT, text STRING")).collect()}
+    return lambda kept: np.mean([(n, n) in found for n, _ in rows if kept(n)])
+
+
+def test_leaks_of_every_block_are_found(spark, documents, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MAX_ITEMS", 1_600)
+    share = recall(spark, *planted_items(documents, 3_200, 60, 0.9))
+    first, second = share(lambda n: n < 1_600), share(lambda n: n >= 1_600)
+    assert min(first, second) >= 0.93, (first, second)
+
+
 # --- near-duplicates --------------------------------------------------------------------
 
 
