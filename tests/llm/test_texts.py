@@ -178,6 +178,12 @@ def test_leaks_of_every_block_are_found(spark, documents, monkeypatch):
     assert min(first, second) >= 0.93, (first, second)
 
 
+def test_short_and_shortened_items_are_found(spark, documents):
+    share = recall(spark, *planted_items(documents, 3_200, 25, 0.85))
+    whole, dropped = share(lambda n: n % 16), share(lambda n: n % 16 == 0)
+    assert whole >= 0.99 and dropped >= 0.93, (whole, dropped)
+
+
 # --- near-duplicates --------------------------------------------------------------------
 
 
