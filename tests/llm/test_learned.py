@@ -1,6 +1,7 @@
 """Classifiers and language model: held-out accuracy, gradients, states of the grammar, edge cases."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillgauge.llm import pseudolikelihood as pl
@@ -105,3 +106,14 @@ def test_pseudo_likelihood(spark, edge, nothing):
     assert abs(by[6]["log_probability"] - want) < 1e-3 and by[6]["n_tokens"] == 4
     assert by[5]["n_tokens"] == 60_000 and by[5]["mean_log_probability"] > -np.log(pl.TOKENS) + 0.5
     assert pl.pseudo_likelihood(nothing).collect() == []
+
+
+def test_every_position_is_a_training_case():
+    texts = ["one", "b a", None, "", "c d e f " * 30]
+    made = np.concatenate(list(pl.cases([pa.RecordBatch.from_pydict({"doc_id": list(range(5)), "text": texts})], list("abcdef"))))
+    ids = pl.token_ids(list("abcdef"))
+    want = []
+    for text in texts:
+        codes = [pl.PAD] * pl.SIDE + [ids[w] for w in pl.words_of(text)] + [pl.PAD] * pl.SIDE
+        want += [[*(codes[k + o] for o in pl.OFFSETS), codes[k]] for k in range(pl.SIDE, len(codes) - pl.SIDE)]
+    assert len(want) == 123 and sorted(made.tolist()) == sorted(want)
