@@ -5,7 +5,10 @@ containers that rarely hold content) and tags negative, with weights learned fro
 pages: those whose markup names their article. One linear scan finds the contiguous run of
 tokens with the largest sum. Where that region lies in an element the page itself calls an
 article or its main part, it is widened or cut to that element, and parts inside it that are no
-content (menus, footers, sidebars, notices, adverts, forms, reader comments) are left out.
+content (menus, footers, sidebars, notices, adverts, forms, reader comments) are left out. A class,
+id or role says so if all pieces of one of its names do ("cookie-notice", not "with-sidebar"). Such
+a mark, or a form, that would take most words of a page is void if no unmarked article is left and
+it is, or holds, an article, or is a form, or leaves no word.
 
 Blocks end at block-level tags; white space in a block becomes one space, character references
 are decoded, blocks are joined by a line feed. Nothing else is dropped, however long.
@@ -59,6 +62,8 @@ NO_CONTENT_WORDS = frozenset(
     " share sharing social related recommended newsletter subscribe subscription popup modal overlay footer masthead topbar"
     " toolbar search login signup contentinfo complementary".split()
 )
+# Names that a paragraph of an article may have.
+OF_PARAGRAPHS = frozenset("notice notices alert social search".split())
 ROOTS = frozenset(["article", "main"])
 SAME = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]),
         "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
@@ -72,6 +77,7 @@ class Element:
     mark: str
     skip: bool
     root: int
+    soft: tuple[int, ...] = ()
 
 
 @dataclass
@@ -84,15 +90,30 @@ class Page:
     blocks: list[int] = field(default_factory=list)
     skips: list[bool] = field(default_factory=list)
     roots: list[int] = field(default_factory=list)
+    softs: list[tuple[int, ...]] = field(default_factory=list)
 
-    def add(self, kind: str, words: int, text: str, block: int, skip: bool, root: int) -> None:
-        for values, value in zip((self.kinds, self.words, self.texts, self.blocks, self.skips, self.roots), (kind, words, text, block, skip, root), strict=True):
+    def add(self, kind: str, words: int, text: str, block: int, skip: bool, root: int, soft: tuple[int, ...]) -> None:
+        for values, value in zip((self.kinds, self.words, self.texts, self.blocks, self.skips, self.roots, self.softs), (kind, words, text, block, skip, root, soft), strict=True):
             values.append(value)
 
-
-def marks(attrs: str) -> tuple[str, bool]:
-    """First word of the class or id, and whether any of them says that it is no content."""
-    first, out = "", False
+    def settle(self, strong: set[int]) -> None:
+        """Leaves out what marks take, except for marks that would take the page's content; `strong` are articles and forms."""
+        total, left, held, rooted, article = 0, 0, Counter(), set(strong), False
+        for words, skip, root, soft in zip(self.words, self.skips, self.roots, self.softs, strict=True):
+            if skip or not words:
+                continue
+            total, left, article = total + words, left + (0 if soft else words), article or bool(root and not soft)
+            for k in soft:
+                held[k] += words
+                if root:
+                    rooted.add(k)
+        void = {k for k, n in held.items() if not article and n * 2 > total and (k in rooted or not left)}
+        self.skips = [skip or not void.issuperset(soft) for skip, soft in zip(self.skips, self.softs, strict=True)]
+
+
+def marks(attrs: str) -> tuple[str, bool, set[str]]:
+    """First word of the class or id, whether it is hidden, and the words by which a name says that it is no content."""
+    first, out, said = "", False, set()
     for name, value in ATTRIBUTE.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
@@ -100,13 +121,15 @@ def marks(attrs: str) -> tuple[str, bool]:
         elif value:
             pieces = [p for p in PIECE.split(value) if p]
             first = first or (pieces[0] if pieces and name != "role" else "")
-            out = out or bool(NO_CONTENT_WORDS.intersection(pieces))
-    return first, out
+            for one in value.split():
+                own = {p for p in PIECE.split(one) if p}
+                said |= own if own <= NO_CONTENT_WORDS else set()
+    return first, out, said
 
 
 def read_page(html: str) -> Page:
     """The tokens of a page with the open elements applied to each text run."""
-    page, stack, block, at, roots = Page(), [], 0, 0, 0
+    page, stack, block, at, roots, softs, strong = Page(), [], 0, 0, 0, 0, set()
 
     def text_until(end: int) -> None:
         if end > at:
@@ -116,7 +139,7 @@ def read_page(html: str) -> Page:
             linked = "/a" if any(e.name == "a" for e in stack[-4:]) else ""
             mark = next((e.mark for e in reversed(stack) if e.mark), "")
             holder = next((e.name for e in reversed(stack) if e.name in BLOCK), "")
-            page.add(f"{holder}.{mark}{linked}", words, text, block, top.skip, top.root)
+            page.add(f"{holder}.{mark}{linked}", words, text, block, top.skip, top.root, top.soft)
 
     for found in TOKEN.finditer(html):
         text_until(found.start())
@@ -145,24 +168,33 @@ def read_page(html: str) -> Page:
                     del stack[k:]
                     break
             above = stack[-1] if stack else Element("", "", False, 0)
-            mark, out = marks(found["attrs"] or "")
+            mark, out, said = marks(found["attrs"] or "")
             root = above.root
             if name in ROOTS and not root:
                 roots += 1
                 root = roots
             out = out and name not in ("html", "body")
-            skip = above.skip or out or name in NO_CONTENT or (name == "header" and not root)
-            page.add(f"<{name}", 0, "", block, skip, root)
+            skip = above.skip or out or (name in NO_CONTENT and name != "form") or (name == "header" and not root)
+            soft = above.soft
+            if name == "p" and root:
+                said = said - OF_PARAGRAPHS
+            if name == "form" or said and name not in ("html", "body"):
+                softs += 1
+                soft = (*soft, softs)
+                if name == "form" or name in ROOTS:
+                    strong.add(softs)
+            page.add(f"<{name}", 0, "", block, skip, root, soft)
             if name not in VOID and not (found["attrs"] or "").endswith("/"):
-                stack.append(Element(name, mark, skip, root))
+                stack.append(Element(name, mark, skip, root, soft))
         else:
             top = stack[-1] if stack else Element("", "", False, 0)
-            page.add(f"</{name}", 0, "", block, top.skip, top.root)
+            page.add(f"</{name}", 0, "", block, top.skip, top.root, top.soft)
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k].name == name:
                     del stack[k:]
                     break
     text_until(len(html))
+    page.settle(strong)
     return page
 
 

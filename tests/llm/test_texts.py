@@ -253,6 +253,18 @@ def test_pages(spark):
     assert html.main_text(pages.limit(0), html.learn(pages.limit(0))).collect() == []
 
 
+@pytest.mark.parametrize("page", [
+    "<div class='layout with-sidebar'><article>{}</article></div>", "<div id=page class=has-comments><main>{}</main></div>", "<article class='post related'>{}</article>",
+    "<main class=no-sidebar>{}</main>", "<form><div>{}</div></form>", "<article>{}<div class=social>Share</div></article>",
+])
+def test_marks_do_not_empty_a_page(page):
+    inner = "<p>Some first words of it.</p><p class=notice>And a second paragraph.</p>"
+    weights = html.Weights({}, {})
+    want = "Some first words of it.\nAnd a second paragraph."
+    assert html.extract(page.format(inner if "<form" not in page else inner.replace(" class=notice", "")), weights) == want
+    assert html.extract("<div class=comments><p>Words</p></div><article><p>Text</p></article>", weights) == "Text"
+
+
 def test_region_is_the_largest_sum():
     rng = random.Random(9)
     for _ in range(50):
