@@ -39,4 +39,24 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, CAST((copies + CASE WHEN chosen THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM e
 """
 
-ORACLE = {"op3_pareto_mix": OP3}
+
+OP12 = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND coalesce(list_bool_and(list_transform(embedding, lambda c: c IS NOT NULL AND isfinite(CAST(c AS DOUBLE)))), true)
+), q AS (
+  SELECT DISTINCT vec_id AS query_id, x AS qx FROM v WHERE vec_id % 50 = 0
+), s AS (
+  SELECT q.query_id, v.vec_id,
+         CAST(coalesce(list_sum(list_transform(range(1, greatest(len(q.qx), len(v.x)) + 1),
+                                               lambda i: coalesce(q.qx[i], 0) * coalesce(v.x[i], 0))), 0) AS BIGINT) AS score
+  FROM q JOIN v ON v.vec_id IS DISTINCT FROM q.query_id
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id ASC NULLS LAST) AS rank FROM s
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+ORACLE = {"op3_pareto_mix": OP3, "op12_exact_topk": OP12}

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgauge.llm import decontaminate, fingerprint, html, mixing, pii, pseudolikelihood, quality, secrets, simhash, toxicity
+from quillgauge.llm import (
+    decontaminate, fingerprint, html, merkle, mixing, pii, pseudolikelihood, quality, secrets, simhash, topk, toxicity, whitening,
+)
 from quillgauge.llm.common import held_out, table
 
 
@@ -59,6 +61,20 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(pages, html.learn(pages)).select("page_id", "url", "text", "n_chars")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.manifest(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
@@ -70,4 +86,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_pseudo_likelihood": op9_pseudo_likelihood,
     "op10_main_text": op10_main_text,
+    "op11_whitening": op11_whitening,
+    "op12_exact_topk": op12_exact_topk,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
