@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgauge.functions import code as c
 from quillgauge.functions import fixed as v
+from quillgauge.functions import grammar
 from quillgauge.functions import text as t
 from quillgauge.operators import code as ops
 from quillgauge.operators.scale import broadcast_if_small, first_n
@@ -238,7 +239,9 @@ def revalidate(
     """Adds `scores` of every block in the new text and `ok`: all of them within the limit.
 
     Each proposal is measured by the metric it names. A text without code, and one that
-    cannot be code (`code.syntax_problem`), fails with the reason in `error`.
+    cannot be code, fails with the reason in `error`: first the line checks of
+    `code.syntax_problem`, then the token recogniser of `grammar`, then, where proposals
+    carry the function's `name`, the text must define that function at its lowest level.
     """
     by_metric = {
         "cyclomatic": (
@@ -257,9 +260,17 @@ def revalidate(
 
     kept = [F.col(x) for x in proposals.columns if x not in ("scores", "ok", "error", "content")]
     measured = ops.with_blocks(proposals.select(*kept, F.col(text).alias("content")))
+    measured = measured.withColumn("__tokens", grammar.tokens(F.col("content")))
     found = F.when(F.col(metric) == "cyclomatic", scored("cyclomatic")).otherwise(scored("cognitive"))
     coded = F.exists("facts", lambda x: x["kind"] == "code")
-    problem = F.when(F.coalesce(coded, F.lit(False)), c.syntax_problem(F.col("facts"))).otherwise("no code")
+    defined = F.lit(None).cast("string")
+    if "name" in proposals.columns:
+        again = F.exists("blocks", lambda b: (b["name"] == F.col("name")) & b["kind"].isin("def", "async") & b["parent_line"].isNull())
+        defined = F.when(F.col("name").isNotNull() & ~again, F.lit("the function is not defined again"))
+    problem = F.when(
+        F.coalesce(coded, F.lit(False)),
+        F.coalesce(c.syntax_problem(F.col("facts")), grammar.token_problem("__tokens"), defined),
+    ).otherwise("no code")
     rows = measured.select(*kept, found.alias("scores"), problem.alias("error"))
     parsed = F.col("error").isNull()
     return rows.select(
