@@ -29,6 +29,8 @@ Defined results:
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,10 +89,11 @@ def _width(level: int) -> Column:
     return F.expr(f"(__n + {span - 1}) div {span}")
 
 
-def tree(nodes: DataFrame, group: str) -> tuple[list[DataFrame], DataFrame]:
-    """Levels of parents (group, __n, pos, digest, children) and the tops (group, digest).
+def tree(nodes: DataFrame, group: str, carry: tuple[str, ...] = ()) -> tuple[list[DataFrame], DataFrame]:
+    """Levels of nodes (group, __n, pos, digest, children) and the tops (group, digest).
 
-    `nodes` holds group, __n (the group's node count), pos and digest of the lowest level.
+    `nodes` holds group, __n (the group's node count), pos and digest of the lowest level; the
+    first parents also keep `members`: their children's pos, digest and `carry` columns.
     """
     levels = [nodes.withColumn("children", F.lit(None).cast("array<string>"))]
     tops = [levels[0].filter(_width(0) <= 1).select(group, "digest")]
@@ -98,9 +101,12 @@ def tree(nodes: DataFrame, group: str) -> tuple[list[DataFrame], DataFrame]:
     level, width = 0, int(most)
     while width > 1:
         current = levels[-1].filter(_width(level) > 1)
-        run = F.sort_array(F.collect_list(F.struct("pos", "digest")))
-        parents = (current.groupBy(group, "__n", F.floor(F.col("pos") / FAN).alias("pos"))
-                   .agg(F.transform(run, lambda r: r["digest"]).alias("children")))
+        fields = ("pos", "digest", *carry) if level == 0 else ("pos", "digest")
+        run = F.sort_array(F.collect_list(F.struct(*fields)))
+        parents = current.groupBy(group, "__n", F.floor(F.col("pos") / FAN).alias("pos")).agg(run.alias("members"))
+        parents = parents.withColumn("children", F.transform("members", lambda r: r["digest"]))
+        if level > 0:
+            parents = parents.drop("members")
         parents = durable(parents.withColumn("digest", H(F.array_join("children", ""))))
         level, width = level + 1, -(-width // FAN)
         levels.append(parents)
@@ -111,32 +117,78 @@ def tree(nodes: DataFrame, group: str) -> tuple[list[DataFrame], DataFrame]:
     return levels, top
 
 
-def _down(levels: list[DataFrame], group: str, top_proof: DataFrame) -> DataFrame:
-    """Lowest-level nodes with `proof`: array of (run, idx) from their level up to the root.
+def _down(levels: list[DataFrame], group: str, top_proof: DataFrame, lowest: int) -> DataFrame | None:
+    """Nodes of level `lowest` with `proof`: array of (run, idx) from their level up to the root.
 
-    `top_proof` holds group and proof for the top node of each group.
+    `top_proof` holds group and proof of each group's top node. Every level takes its proofs
+    in one join: from its parents, or, for a group's top node, from `top_proof`.
     """
-    proof_type = PROOF
     carried = None
-    for lvl in range(len(levels) - 1, -1, -1):
-        nodes = levels[lvl]
-        if carried is None:
-            here = nodes.select(group, "__n", "pos", "digest", "children").withColumn("proof", F.lit(None).cast(proof_type))
-        else:
-            parent = carried.select(F.col(group).alias("__g"), F.col("pos").alias("__ppos"),
-                                    F.col("children").alias("__run"), F.col("proof").alias("__pproof"))
-            here = nodes.join(parent, nodes[group].eqNullSafe(parent["__g"]) & (F.floor(nodes["pos"] / FAN) == parent["__ppos"]), "left")
-            step = F.array(F.struct(F.col("__run").alias("run"), (F.col("pos") % FAN).cast("int").alias("idx")))
-            here = here.select(group, "__n", "pos", "digest", "children",
-                               F.when(F.col("__run").isNull(), F.lit(None).cast(proof_type))
-                               .otherwise(F.concat(step, F.col("__pproof"))).alias("proof"))
-        tops = top_proof.select(F.col(group).alias("__g"), F.col("proof").alias("__tproof"))
-        here = here.join(tops, here[group].eqNullSafe(tops["__g"]) & (_width(lvl) <= 1), "left")
-        here = here.select(group, "__n", "pos", "digest", "children", F.coalesce("proof", "__tproof").alias("proof"))
-        carried = durable(here) if lvl else here
+    tops = top_proof.select(F.col(group).alias("__g"), F.lit(-1).cast("long").alias("__ppos"),
+                            F.lit(None).cast("array<string>").alias("__run"), F.col("proof").alias("__pproof"))
+    for lvl in range(len(levels) - 1, lowest - 1, -1):
+        nodes = levels[lvl].withColumn("__key", F.when(_width(lvl) <= 1, F.lit(-1)).otherwise(F.floor(F.col("pos") / FAN)).cast("long"))
+        info = tops
+        if carried is not None:
+            info = carried.select(F.col(group).alias("__g"), F.col("pos").cast("long").alias("__ppos"),
+                                  F.col("children").alias("__run"), F.col("proof").alias("__pproof")).unionByName(tops)
+        here = nodes.join(info, nodes[group].eqNullSafe(info["__g"]) & (nodes["__key"] == info["__ppos"]), "left")
+        step = F.array(F.struct(F.col("__run").alias("run"), (F.col("pos") % FAN).cast("int").alias("idx")))
+        proof = F.when(F.col("__run").isNull(), F.col("__pproof")).otherwise(F.concat(step, F.col("__pproof")))
+        here = here.select(*[c for c in levels[lvl].columns], proof.alias("proof"))
+        carried = durable(here) if lvl > lowest else here
     return carried
 
 
+# Subroots (one a lang) folded on the driver at most; more are folded by the same sweep on Spark.
+TOP_ROWS = 100_000
+
+
+def _sha(text: str) -> str:
+    return hashlib.sha256(text.encode("utf-8")).hexdigest()
+
+
+def _top_on_driver(subroots: list[tuple[str | None, str]]) -> tuple[str, list[tuple[str | None, list[tuple[list[str], int]]]]]:
+    """Root and each lang's proof above its subroot, for a bounded list of (lang, subroot)."""
+    ordered = sorted(subroots, key=lambda r: (r[0] is not None, (r[0] or "").encode("utf-8")))
+    levels = [[d for _, d in ordered]]
+    while len(levels[-1]) > 1:
+        nodes = levels[-1]
+        levels.append([_sha("".join(nodes[i:i + FAN])) for i in range(0, len(nodes), FAN)])
+    proofs = []
+    for i, (lang, _) in enumerate(ordered):
+        proof, at = [], i
+        for nodes in levels[:-1]:
+            start = at // FAN * FAN
+            proof.append((nodes[start:start + FAN], at % FAN))
+            at //= FAN
+        proofs.append((lang, proof))
+    return levels[-1][0], proofs
+
+
+def _top(spark, subroots: DataFrame) -> tuple[str, DataFrame, bool]:
+    """Root, each lang's proof above its subroot, and whether that table is small."""
+    if subroots.count() <= TOP_ROWS:
+        root, proofs = _top_on_driver([(r["lang"], r["digest"]) for r in subroots.collect()])
+        return root, spark.createDataFrame(proofs, f"lang STRING, proof {PROOF}"), True
+    top_nodes = positions(subroots.withColumn("__top", F.lit(0)), "__top", [F.col("lang").asc_nulls_first()])
+    top_levels, root = tree(top_nodes.select("__top", "__n", "pos", "digest"), "__top")
+    bottom = _down(top_levels, "__top", root.select("__top", empty().alias("proof")), 0)
+    proofs = bottom.join(top_nodes.select("__top", "pos", "lang"), ["__top", "pos"]).select("lang", "proof")
+    return root.first()["digest"], proofs, False
+
+
+def _outputs(rows: DataFrame, root: str) -> DataFrame:
+    proof = F.col("proof")
+    siblings = F.flatten(F.transform(proof, lambda p: F.filter(p["run"], lambda _, i: i != p["idx"])))
+    folded = F.aggregate(proof, F.col("tampered"),
+                         lambda acc, p: H(F.array_join(F.transform(p["run"], lambda dg, i: F.when(i == p["idx"], acc).otherwise(dg)), "")))
+    return rows.select(
+        "doc_id", F.col("digest").alias("leaf"), "subroot", F.lit(root).alias("root"),
+        H(F.array_join(siblings, "")).alias("proof_sha256"), folded.alias("folded_root"),
+        (folded == F.lit(root)).alias("verified"), "lang")
+
+
 def manifest(docs: DataFrame) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified, and the lang of each row."""
     spark = docs.sparkSession
@@ -149,26 +201,21 @@ def manifest(docs: DataFrame) -> DataFrame:
     if d.limit(1).count() == 0:
         return spark.createDataFrame([], schema)
     leaves = positions(d, "lang", [F.col("doc_id").asc_nulls_first(), F.col("digest").asc()])
-    lang_levels, subroots = tree(leaves.select("lang", "__n", "pos", "digest"), "lang")
-    subroots = subroots.withColumn("__top", F.lit(0))
-    top_nodes = positions(subroots, "__top", [F.col("lang").asc_nulls_first()])
-    top_levels, root = tree(top_nodes.select("__top", "__n", "pos", "digest", "lang"), "__top")
-    # One digest: the only value of the whole tree that every row needs.
-    root_digest = root.first()["digest"]
-    top_bottom = _down(top_levels, "__top", root.select("__top", empty().alias("proof")))
-    sub_proof = top_bottom.join(top_nodes.select("__top", "pos", "lang"), ["__top", "pos"]).select("lang", F.coalesce("proof", empty()).alias("proof"))
-    bottom = _down(lang_levels, "lang", sub_proof)
-    sub = subroots.select(F.col("lang").alias("__sl"), F.col("digest").alias("subroot"))
-    out = (leaves.select("doc_id", "lang", "pos", "tampered")
-           .join(bottom.select(F.col("lang").alias("__l"), F.col("pos").alias("__p"), "digest", "proof"),
-                 F.col("lang").eqNullSafe(F.col("__l")) & (F.col("pos") == F.col("__p")))
-           .join(sub, F.col("lang").eqNullSafe(F.col("__sl")))
-           .withColumn("root", F.lit(root_digest)))
-    proof = F.coalesce(F.col("proof"), empty())
-    siblings = F.flatten(F.transform(proof, lambda p: F.filter(p["run"], lambda _, i: i != p["idx"])))
-    folded = F.aggregate(proof, F.col("tampered"),
-                         lambda acc, p: H(F.array_join(F.transform(p["run"], lambda dg, i: F.when(i == p["idx"], acc).otherwise(dg)), "")))
-    return out.select(
-        "doc_id", F.col("digest").alias("leaf"), "subroot", "root",
-        H(F.array_join(siblings, "")).alias("proof_sha256"), folded.alias("folded_root"),
-        (folded == F.col("root")).alias("verified"), "lang")
+    levels, subroots = tree(leaves.select("lang", "__n", "pos", "digest", "tampered", "doc_id"), "lang", ("tampered", "doc_id"))
+    subroots = durable(subroots)
+    root, top_proof, small = _top(spark, subroots)
+    side = F.broadcast if small else (lambda df: df)
+    top_proof = side(top_proof)
+    sub = side(subroots.select(F.col("lang").alias("__sl"), F.col("digest").alias("subroot")))
+    # A lang of one row: its leaf is its subroot, its proof is the one above the subroot.
+    alone = leaves.filter(F.col("__n") == 1).select("doc_id", "lang", "digest", "tampered")
+    alone = alone.join(top_proof.withColumnRenamed("lang", "__g"), F.col("lang").eqNullSafe(F.col("__g"))).drop("__g")
+    rows = alone
+    if len(levels) > 1:
+        firsts = _down(levels, "lang", top_proof, 1)
+        members = firsts.select("lang", "children", "proof", F.explode("members").alias("m"))
+        step = F.array(F.struct(F.col("children").alias("run"), (F.col("m.pos") % FAN).cast("int").alias("idx")))
+        rows = members.select(F.col("m.doc_id").alias("doc_id"), "lang", F.col("m.digest").alias("digest"),
+                              F.col("m.tampered").alias("tampered"), F.concat(step, "proof").alias("proof")).unionByName(alone)
+    rows = rows.join(sub, F.col("lang").eqNullSafe(F.col("__sl")))
+    return _outputs(rows, root)
