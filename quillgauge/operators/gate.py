@@ -10,7 +10,7 @@ from quillgauge.functions import fixed as v
 from quillgauge.functions import grammar
 from quillgauge.functions import text as t
 from quillgauge.operators import code as ops
-from quillgauge.operators.scale import broadcast_if_small, first_n
+from quillgauge.operators.scale import first_n
 
 BLOCK_KEY = ["project", "path", "name", "block_line"]
 
@@ -102,17 +102,52 @@ def union_metrics(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.unionByName(second)
 
 
+# Length of the grams by which a listed path part meets the paths that may hold it.
+GRAM = 4
+
+
+def _substrings(text: Column, lengths: list[int]) -> Column:
+    """Every substring of `text` of each of the given lengths (0 gives the empty one)."""
+    n = F.length(text)
+
+    def of(size: int) -> Column:
+        if size == 0:
+            return F.array(F.lit(""))
+        starts = F.when(n >= size, F.sequence(F.lit(1), n - size + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: text.substr(i, F.lit(size)))
+
+    return F.array_distinct(F.flatten(F.array(*[of(size) for size in lengths])))
+
+
 def drop_excluded(violations: DataFrame, exclusions: DataFrame) -> DataFrame:
-    """Remove listed blocks: same metric, same name, and the full path holds the listed part."""
-    full = F.concat_ws("/", F.col("v.project"), t.norm_path(F.col("v.path")))
-    listed = broadcast_if_small(exclusions).alias("x")
-    left = violations.alias("v")
-    hit = (
-        (F.col("v.metric") == F.col("x.metric"))
-        & (F.col("v.name") == F.col("x.block"))
-        & F.contains(full, F.col("x.part"))
-    )
-    return left.join(listed, hit, "left_anti")
+    """Remove listed blocks: same metric, same name, and the full path holds the listed part.
+
+    A substring index join: a part of GRAM characters or more meets a path only through its
+    rarest gram (counted over the paths), a shorter part through itself; each path offers all
+    its grams and all its shorter substrings. Only the pairs that share a key are verified with
+    `contains`, so no (metric, name) key, however common, pairs all its rows.
+    """
+    keys = [*BLOCK_KEY, "metric"]
+    met = exclusion_candidates(violations, exclusions)
+    hit = met.filter(F.contains(F.col("__full"), F.col("part"))).select(*keys).distinct()
+    return violations.join(hit, [violations[k].eqNullSafe(hit[k]) for k in keys], "left_anti")
+
+
+def exclusion_candidates(violations: DataFrame, exclusions: DataFrame) -> DataFrame:
+    """Pairs of a violation and a listed part that share (metric, name, gram), before `contains`."""
+    full = F.concat_ws("/", F.col("project"), t.norm_path(F.col("path")))
+    keys = [*BLOCK_KEY, "metric"]
+    paths = violations.select(*keys, full.alias("__full"))
+    offered = paths.select("*", F.explode(_substrings(F.col("__full"), list(range(GRAM + 1)))).alias("__gram"))
+    listed = exclusions.filter(F.col("part").isNotNull() & F.col("metric").isNotNull() & F.col("block").isNotNull())
+    listed = listed.select("metric", "block", "part").distinct()
+    seen = paths.select(F.explode(_substrings(F.col("__full"), [GRAM])).alias("__gram")).groupBy("__gram").count()
+    long = listed.filter(F.length("part") >= GRAM)
+    choices = long.select("*", F.posexplode(_substrings(F.col("part"), [GRAM])).alias("__at", "__gram"))
+    choices = choices.join(seen, "__gram", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    rarest = choices.groupBy("metric", "block", "part").agg(F.min_by("__gram", F.struct("count", "__at")).alias("__gram"))
+    keyed = rarest.unionByName(listed.filter(F.length("part") < GRAM).withColumn("__gram", F.col("part")))
+    return offered.join(keyed.withColumnRenamed("block", "name"), ["metric", "name", "__gram"])
 
 
 def violations(
