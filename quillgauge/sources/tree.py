@@ -1,135 +1,109 @@
-"""Source-tree scan as a Spark data source.
+"""Source-tree scan as a Spark job.
 
 Spark's own file sources leave out names that start with `_` or `.`, which would lose every
-`__init__.py`, so the tree is listed through Arrow's file systems instead.
+`__init__.py`, so folders are listed through Arrow's file systems, inside the tasks:
+
+* the tree is expanded level by level: each task lists its share of the current folders, once
+  each, and writes what it found (files with their sizes, and the folders below) to the shared
+  checkpoint folder; the folders below are the next level. The driver only counts them.
+* the files found are then dealt to reading tasks: as many tasks as the bytes (TASK_BYTES a
+  task) or the files (`per_task` a task) ask for, files spread over them by a hash of the path.
 """
 
 from __future__ import annotations
 
 import fnmatch
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quillgauge.functions import fixed as v
+from quillgauge.operators.scale import durable
 
 SCHEMA = "path STRING, content STRING, error STRING"
+FOUND = "folder STRING, path STRING, is_dir BOOLEAN, size LONG"
 BATCH_BYTES = 32 * 1024 * 1024
-
-
-class Share(InputPartition):
-    """Folders for one task: (folder, whether to go below it, which of how many shares)."""
-
-    def __init__(self, pieces: list[tuple[str, bool, int, int]]):
-        self.pieces = pieces
-
-
-class SourceTreeReader(DataSourceReader):
-    """Lists only enough folders on the driver to feed the tasks; tasks walk the rest.
-
-    Small folders go to one task together. A folder with many files, and every folder the
-    driver did not list, is read by several tasks that share its files by a hash of the path,
-    so one folder with most of the files is still spread. The driver keeps counts, no files.
-    """
-
-    def __init__(self, options: dict[str, str]):
-        self.root = options["root"]
-        self.glob = options.get("glob", "*.py")
-        self.ignore = set(filter(None, options.get("ignore", "").split(",")))
-        self.folders = int(options.get("folders", "256"))
-        self.shards = int(options.get("shards", "8"))
-        self.per_task = int(options.get("per_task", "500"))
-
-    def _open(self) -> tuple[fs.FileSystem, str]:
-        if "://" in self.root:
-            return fs.FileSystem.from_uri(self.root)
-        return fs.LocalFileSystem(), self.root
-
-    def _children(self, system: fs.FileSystem, folder: str) -> list[fs.FileInfo]:
-        found = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
-        return [x for x in found if x.base_name not in self.ignore]
-
-    def partitions(self) -> list[Share]:
-        system, base = self._open()
-        listed: list[tuple[str, int]] = []
-        frontier = [base] if system.get_file_info(base).type == fs.FileType.Directory else []
-        while frontier and len(listed) + len(frontier) < self.folders:
-            below = []
-            for folder in frontier:
-                inside = self._children(system, folder)
-                below += [x.path for x in inside if x.type == fs.FileType.Directory]
-                listed.append((folder, sum(x.type == fs.FileType.File for x in inside)))
-            frontier = below
-        shares, together, n_together = [], [], 0
-        for folder, n in listed:
-            parts = -(-n // self.per_task)
-            if parts > 1:
-                shares += [Share([(folder, False, k, parts)]) for k in range(parts)]
-                continue
-            together.append((folder, False, 0, 1))
-            n_together += n
-            if n_together >= self.per_task:
-                shares.append(Share(together))
-                together, n_together = [], 0
-        shares += [Share([(f, True, k, self.shards)]) for f in frontier for k in range(self.shards)]
-        return [*shares, Share(together)]
-
-    def read(self, share: Share) -> Iterator[pa.RecordBatch]:
-        system, base = self._open()
+TASK_BYTES = 128 * 1024 * 1024
+
+
+def _open(root: str) -> tuple[fs.FileSystem, str]:
+    if "://" in root:
+        return fs.FileSystem.from_uri(root)
+    return fs.LocalFileSystem(), root
+
+
+def _lister(root: str, glob: str, ignore: frozenset[str]):
+    """Each folder of a batch listed once: its matching files and its folders, ignored names left out."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = _open(root)
+        for batch in batches:
+            rows: dict[str, list] = {"folder": [], "path": [], "is_dir": [], "size": []}
+            for folder in batch.column("folder").to_pylist():
+                for x in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+                    if x.base_name in ignore:
+                        continue
+                    is_dir = x.type == fs.FileType.Directory
+                    if is_dir or fnmatch.fnmatchcase(x.base_name, glob):
+                        for key, value in (("folder", folder), ("path", x.path), ("is_dir", is_dir), ("size", x.size or 0)):
+                            rows[key].append(value)
+            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([
+                ("folder", pa.string()), ("path", pa.string()), ("is_dir", pa.bool_()), ("size", pa.int64())]))
+    return run
+
+
+def _reader(root: str, base: str):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = _open(root)
         rows: list[tuple[str, str | None, str | None]] = []
         size = 0
-        for x in self._files(system, share):
-            relative = x.path[len(base.rstrip("/")) + 1 :]
-            rows.append((relative, *self._text(system, x.path)))
-            size += x.size or 0
-            if size > BATCH_BYTES:
-                yield _batch(rows)
-                rows, size = [], 0
+        for batch in batches:
+            for path, bytes_ in zip(batch.column("path").to_pylist(), batch.column("size").to_pylist(), strict=True):
+                rows.append((path[len(base.rstrip("/")) + 1:], *_text(system, path)))
+                size += bytes_ or 0
+                if size > BATCH_BYTES:
+                    yield _batch(rows)
+                    rows, size = [], 0
         if rows:
             yield _batch(rows)
+    return run
+
 
-    def _files(self, system: fs.FileSystem, share: Share) -> Iterator[fs.FileInfo]:
-        for folder, deep, part, parts in share.pieces:
-            stack = [folder]
-            while stack:
-                for x in self._children(system, stack.pop()):
-                    if x.type == fs.FileType.Directory:
-                        if deep:
-                            stack.append(x.path)
-                    elif zlib.crc32(x.path.encode()) % parts == part:
-                        if fnmatch.fnmatchcase(x.base_name, self.glob):
-                            yield x
-
-    @staticmethod
-    def _text(system: fs.FileSystem, path: str) -> tuple[str | None, str | None]:
-        try:
-            with system.open_input_stream(path) as stream:
-                return stream.read().decode("utf-8", errors="replace"), None
-        except OSError as e:
-            return None, str(e)
+def _text(system: fs.FileSystem, path: str) -> tuple[str | None, str | None]:
+    try:
+        with system.open_input_stream(path) as stream:
+            return stream.read().decode("utf-8", errors="replace"), None
+    except OSError as e:
+        return None, str(e)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     names = ["path", "content", "error"]
-    columns = [pa.array(list(c), pa.string()) for c in zip(*rows, strict=True)]
+    columns = [pa.array(list(c), pa.string()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.string())] * 3
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
-class SourceTree(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "source_tree"
+def list_tree(spark: SparkSession, root: str, glob: str = "*", ignore: list[str] | None = None,
+              folders: int = 256) -> DataFrame:
+    """(folder, path, is_dir, size) of everything below `root`, each folder listed by one task once.
 
-    def schema(self) -> str:
-        return SCHEMA
-
-    def reader(self, schema) -> SourceTreeReader:
-        return SourceTreeReader(dict(self.options))
+    `folders` is how many folders of a level one task lists. Every level is written before the
+    next one is listed, so a lost executor lists nothing twice into the result.
+    """
+    system, base = _open(root)
+    found = spark.createDataFrame([], FOUND)
+    if system.get_file_info(base).type != fs.FileType.Directory:
+        return found
+    lister = _lister(root, glob, frozenset(ignore or []))
+    frontier, count = spark.createDataFrame([(base,)], "folder STRING"), 1
+    while count:
+        level = durable(frontier.repartition(max(1, -(-count // max(1, folders)))).mapInArrow(lister, FOUND))
+        found = found.unionByName(level.filter(~F.col("is_dir")))
+        frontier = level.filter("is_dir").select(F.col("path").alias("folder"))
+        count = frontier.count()
+    return found
 
 
 def read_source_tree(
@@ -141,16 +115,15 @@ def read_source_tree(
 
     Paths are relative to the root; a missing folder gives no rows. Names ignored below the
     scanned folder are pruned while listing, before anything is read. Bad bytes are replaced.
+    At least `shards` tasks read the files when there are that many.
     """
-    spark.dataSource.register(SourceTree)
     base = root.rstrip("/") + (f"/{subdir}" if subdir else "")
     names = v.IGNORED_SEGMENTS if ignore is None else ignore
-    rows = (
-        spark.read.format("source_tree")
-        .option("root", base).option("glob", glob).option("ignore", ",".join(names))
-        .option("folders", str(folders)).option("shards", str(shards)).option("per_task", str(per_task))
-        .load()
-    )
+    files = list_tree(spark, base, glob, list(names), folders)
+    seen = files.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+    tasks = max(1, min(int(seen["n"]), max(shards, -(-int(seen["bytes"]) // TASK_BYTES), -(-int(seen["n"]) // max(1, per_task)))))
+    _, local = _open(base)
+    rows = files.repartition(tasks, "path").select("path", "size").mapInArrow(_reader(base, local), SCHEMA)
     path = F.concat(F.lit(f"{subdir}/" if subdir else ""), F.col("path"))
     return rows.select(
         F.lit(project or root.rstrip("/")).alias("project"), path.alias("path"), "content", "error"

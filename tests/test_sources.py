@@ -112,3 +112,27 @@ def test_functions_work_on_a_stream(spark, sf):
     query = done.writeStream.format("parquet").option("path", one + "/out").option("checkpointLocation", one + "/cp").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert spark.read.parquet(one + "/out").count() == source.count()
+
+
+def test_tree_flat_and_deep_folders_are_listed_once(spark):
+    from quillgauge.sources.tree import list_tree
+
+    root = tempfile.mkdtemp(prefix="run-")
+    flat = os.path.join(root, "src", "flat")
+    os.makedirs(flat)
+    for i in range(1200):
+        with open(os.path.join(flat, f"m{i}.py"), "w") as f:
+            f.write(f"x = {i}\n")
+    deep = os.path.join(root, "src", *[f"d{k}" for k in range(15)])
+    os.makedirs(deep)
+    for k in range(16):
+        with open(os.path.join(root, "src", *[f"d{j}" for j in range(k)], "leaf.py"), "w") as f:
+            f.write(str(k))
+    listing = list_tree(spark, os.path.join(root, "src"), "*.py", folders=2)
+    rows = listing.select("folder", "path").collect()
+    assert len(rows) == len({r["path"] for r in rows}) == 1216
+    assert len({r["folder"] for r in rows}) == 17
+    got = read_source_tree(spark, root, per_task=100)
+    assert got.rdd.getNumPartitions() >= 12
+    texts = {r["path"]: r["content"] for r in got.collect()}
+    assert len(texts) == 1216 and texts["src/flat/m7.py"] == "x = 7\n" and texts["src/" + "/".join(f"d{j}" for j in range(15)) + "/leaf.py"] == "15"
