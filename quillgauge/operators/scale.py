@@ -93,14 +93,38 @@ def position(
     return cold.unionByName(numbered.select(*cold.columns))
 
 
+# Spark's default spark.sql.optimizer.windowGroupLimitThreshold: a rank filter up to it is cut
+# in every task before the shuffle.
+GROUP_LIMIT = 1000
+
+
 def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int, name: str = "pos") -> DataFrame:
     """First `n` rows per group; Spark drops the others before the shuffle.
 
-    Spark does so for an `n` up to spark.sql.optimizer.windowGroupLimitThreshold (1000 if unset),
-    which a caller with a larger one should raise in the session.
+    Up to GROUP_LIMIT rows this is one ranked window. Beyond it the rows are taken in rounds of
+    GROUP_LIMIT, with no session setting: each round ranks what is left of every group, keeps its
+    first GROUP_LIMIT rows (cut before the shuffle), and the next round starts after the last
+    row a group gave; a group that gave fewer has nothing left. `order` must then be ascending
+    columns that are unique in a group. The result is exact and numbered 1..n in every group.
     """
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn(name, rank).filter(F.col(name) <= n)
+    window = Window.partitionBy(*keys).orderBy(*order)
+    if n <= GROUP_LIMIT:
+        return df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= n)
+    rest, parts = df, []
+    for start in range(0, n, GROUP_LIMIT):
+        size = min(GROUP_LIMIT, n - start)
+        ranked = rest.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= size)
+        parts.append(ranked.withColumn(name, F.col(name) + start))
+        if start + size >= n:
+            break
+        last = ranked.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(
+            F.max(F.struct(*order)).alias("__last"))
+        joined = rest.join(last, [rest[k].eqNullSafe(last[f"__k{i}"]) for i, k in enumerate(keys)])
+        rest = joined.filter(F.struct(*order) > F.col("__last")).select(*[rest[c] for c in df.columns])
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def concat_rows(df: DataFrame, keys: list[str], pos: str, texts: list[str]) -> DataFrame:

@@ -276,3 +276,16 @@ def test_guard_and_splice(spark):
     good, bad = rewrite.guard(made, files)
     assert [r["reason"] for r in bad.collect()] == ["file_modified"]
     assert sorted(rows(rewrite.splice(files, good))) == [("p", "a", "1\ntwo\n3\n"), ("p", "b", "x\n")]
+
+
+def test_first_n_beyond_the_window_limit_is_exact(spark):
+    from quillgauge.operators.scale import first_n
+
+    rows = [("a", i * 7 % 2600) for i in range(2600)] + [("b", i) for i in range(1500)] + [(None, i) for i in range(1200)] + [("c", 5)]
+    df = spark.createDataFrame(rows, "g STRING, o INT")
+    got = {(r["g"], r["o"], r["pos"]) for r in first_n(df, ["g"], [F.col("o")], 2144).collect()}
+    want = set()
+    for g in ("a", "b", None, "c"):
+        ordered = sorted(o for k, o in rows if k == g)[:2144]
+        want |= {(g, o, i + 1) for i, o in enumerate(ordered)}
+    assert got == want
