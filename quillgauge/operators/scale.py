@@ -43,54 +43,45 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if small(df) else df
 
 
+# monotonically_increasing_id(): the task's number above these bits, the row within the task below.
+ROW_BITS = 33
+
+
 def position(
     df: DataFrame, keys: list[str], order: list[Column], name: str = "pos",
     hot_rows: int = HOT_GROUP_ROWS, size: str | None = None,
 ) -> DataFrame:
     """1-based position of each row in its group, and the group's `size` if it is named.
 
-    `order` must be unique in a group. Groups over `hot_rows` rows are found by a count first.
-    Their rows are spread by ranges of the order, counted per range, and numbered inside each
-    range from the range's offset, so no task ever holds such a group. All other groups take
-    a plain window.
+    One plan for every group, large or small: the rows are range-partitioned and sorted by
+    (keys, order) and written once, so a lost executor cannot renumber them; each task's rows
+    are counted per group; prefix sums of those counts (a row per task and group it touches,
+    joined back by broadcast only when `small` says so) give each row its offset. No task
+    holds more than its range, however large a group is. Null keys are a group of their own.
+    `order` must be unique in a group. `hot_rows` is accepted for callers and not used.
     """
-    group = Window.partitionBy(*keys)
-
-    def plain(rows: DataFrame) -> DataFrame:
-        ranked = rows.withColumn(name, F.row_number().over(group.orderBy(*order)).cast("bigint"))
-        return ranked.withColumn(size, F.count("*").over(group)) if size else ranked
-
-    counted = F.count("*").alias("_n")
-    sizes = df.groupBy(*keys).agg(counted).filter(F.col("_n") > hot_rows)
-    total = sizes.agg(F.sum("_n").alias("n")).first()["n"]
-    if not total:
-        return plain(df)
-    # At most total/hot_rows groups are hot, so their keys are few by construction.
-    hot = durable(sizes)
-    cold = plain(df.join(F.broadcast(hot.select(*keys)), keys, "left_anti"))
-    parts = int(total // hot_rows) * 2 + 2
-    ranged = durable(
-        df.join(F.broadcast(hot.select(*keys)), keys, "left_semi")
-        .repartitionByRange(parts, *[F.col(k) for k in keys], *order)
-        .withColumn("_range", F.spark_partition_id())
-    )
-    before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per range that a hot group touches.
-    offsets = (
-        ranged.groupBy(*keys, "_range").agg(counted)
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
-        .join(F.broadcast(hot.withColumnRenamed("_n", "_size")), keys)
+    sort = [*[F.col(k).asc_nulls_first() for k in keys], *order]
+    ranked = durable(
+        df.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("__mid", F.monotonically_increasing_id())
     )
-    inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
-    numbered = (
-        ranged.withColumn("_in", inside)
-        .join(F.broadcast(offsets), [*keys, "_range"])
-        .withColumn(name, F.col("_in") + F.col("_offset"))
+    ranked = ranked.withColumn("__task", F.shiftright("__mid", ROW_BITS)).withColumn(
+        "__local", F.col("__mid").bitwiseAND(F.lit((1 << ROW_BITS) - 1)))
+    alias = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+    named = [f"__k{i}" for i in range(len(keys))]
+    counts = ranked.groupBy(*alias, "__task").agg(F.count("*").alias("__n"), F.min("__local").alias("__first"))
+    before = Window.partitionBy(*named).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    offsets = offsets.withColumn("__size", F.sum("__n").over(Window.partitionBy(*named))).drop("__n")
+    offsets = broadcast_if_small(offsets)
+    same = [ranked[k].eqNullSafe(offsets[f"__k{i}"]) for i, k in enumerate(keys)] + [ranked["__task"] == offsets["__task"]]
+    numbered = ranked.join(offsets, same).select(
+        *[ranked[c] for c in df.columns],
+        (F.col("__offset") + F.col("__local") - F.col("__first") + 1).cast("bigint").alias(name),
+        F.col("__size").alias("__size"),
     )
     if size:
-        numbered = numbered.withColumn(size, F.col("_size"))
-    return cold.unionByName(numbered.select(*cold.columns))
+        numbered = numbered.withColumn(size, F.col("__size"))
+    return numbered.drop("__size")
 
 
 # Spark's default spark.sql.optimizer.windowGroupLimitThreshold: a rank filter up to it is cut
