@@ -192,3 +192,14 @@ def test_batches_feed_escalation(spark):
     records = messages.bundles(placed, ["repo", "batch_id"])
     got = generate_with_escalation(records, lambda p, s: "Handle more input", ["repo", "batch_id"]).collect()
     assert sorted(r["batch_id"] for r in got) == [0, 1, 2]
+
+
+def test_a_proposal_that_breaks_its_file_is_found(spark):
+    from quillgauge.operators.rewrite import spliced_problems
+
+    files = spark.createDataFrame([("p", "a.py", "def f(x):\n    return x\ny = 1\n"), ("p", "b.py", "def f(x):\n    return x\ny = 1\n")],
+                                  "project STRING, path STRING, content STRING")
+    made = spark.createDataFrame([("p", "a.py", 1, 2, "def f(x):\n    return x \\\n"), ("p", "b.py", 1, 2, "def f(x):\n    return 2 * x\n")],
+                                 "project STRING, path STRING, start_line INT, end_line INT, new_text STRING")
+    got = {r["path"]: r["file_problem"] for r in spliced_problems(files, made).collect()}
+    assert got == {"a.py": "an operator is missing", "b.py": None}
