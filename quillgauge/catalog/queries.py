@@ -561,6 +561,13 @@ def q_revalidate(spark, sf):
     )
 
 
+def q_unknown_names(spark, sf):
+    """Every proposal judged as applied to its file: parse of the whole file, then unknown names."""
+    made = proposals(spark, sf).withColumn("ok", F.lit(True))
+    judged = rewrite.applied_problem(made, inputs.files(spark, sf))
+    return judged.select(*gate.BLOCK_KEY, "applied", t.check_feedback(F.col("applied")).alias("feedback"))
+
+
 def q_attempt_order(spark, sf):
     return rewrite.until_success(outcomes(spark, sf), KEYS)
 

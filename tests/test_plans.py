@@ -195,11 +195,13 @@ def test_batches_feed_escalation(spark):
 
 
 def test_a_proposal_that_breaks_its_file_is_found(spark):
-    from quillgauge.operators.rewrite import spliced_problems
-
-    files = spark.createDataFrame([("p", "a.py", "def f(x):\n    return x\ny = 1\n"), ("p", "b.py", "def f(x):\n    return x\ny = 1\n")],
-                                  "project STRING, path STRING, content STRING")
-    made = spark.createDataFrame([("p", "a.py", 1, 2, "def f(x):\n    return x \\\n"), ("p", "b.py", 1, 2, "def f(x):\n    return 2 * x\n")],
-                                 "project STRING, path STRING, start_line INT, end_line INT, new_text STRING")
-    got = {r["path"]: r["file_problem"] for r in spliced_problems(files, made).collect()}
-    assert got == {"a.py": "an operator is missing", "b.py": None}
+    from quillgauge.operators.rewrite import applied_problem
+
+    text = "import os\n\ndef f(x):\n    return x\ny = 1\n"
+    files = spark.createDataFrame([("p", n, text) for n in ("a.py", "b.py", "c.py", "d.py")], "project STRING, path STRING, content STRING")
+    made = spark.createDataFrame([
+        ("p", "a.py", 3, 4, "def f(x):\n    return x \\\n", True), ("p", "b.py", 3, 4, "def f(x):\n    return 2 * x + os.sep\n", True),
+        ("p", "c.py", 3, 4, "def f(x):\n    return helper(x, Path(y))\n", True), ("p", "d.py", 3, 4, "def f(x):\n    return z\n", False),
+    ], "project STRING, path STRING, start_line INT, end_line INT, new_text STRING, ok BOOLEAN")
+    got = {r["path"]: r["applied"] for r in applied_problem(made, files).collect()}
+    assert got == {"a.py": "the file would not parse: an operator is missing", "b.py": None, "c.py": "undefined names: Path, helper", "d.py": None}
