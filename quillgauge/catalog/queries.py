@@ -321,9 +321,10 @@ def broken_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_quarantine_files(spark, sf):
-    good, bad = gate.split_parsable(broken_files(spark, sf))
-    skipped = bad.select(*KEYS, "reason", F.lit(None).cast("bigint").alias("loc"))
-    return code.raw_metrics(good).select(*KEYS, F.lit(None).cast("string").alias("reason"), "loc").unionByName(skipped)
+    """One pass: each file is checked once and tagged; a skipped file keeps its row with a reason and no metrics."""
+    tagged = gate.tag_parsable(broken_files(spark, sf))
+    measured = code.raw_metrics(tagged, [*KEYS, "reason"])
+    return measured.select(*KEYS, "reason", F.when(F.col("reason").isNull(), F.col("loc")).alias("loc"))
 
 
 # --- changes ----------------------------------------------------------------------------

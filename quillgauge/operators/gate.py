@@ -71,6 +71,11 @@ def unreadable(content: Column) -> Column:
     return F.when(content.isNull(), "unreadable").otherwise(problem)
 
 
+def tag_parsable(files: DataFrame) -> DataFrame:
+    """The files with `reason`: NULL for those that can be measured, else why not; one check a file, one pass."""
+    return files.withColumn("reason", unreadable(F.col("content")))
+
+
 def split_parsable(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Files that can be measured, and the skipped ones with the reason: one check for every metric."""
     return split_good_bad(files, unreadable(F.col("content")))
