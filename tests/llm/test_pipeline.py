@@ -67,3 +67,20 @@ def test_empty_tables(spark, sf):
     empty = table(spark, sf, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, empty, sf).count() == 0
+
+
+def test_clashing_columns_are_kept_and_nothing_crashes(spark, sf, edge):
+    rows = edge.withColumn("copy", F.lit("mine")).withColumn("copies", F.lit(7)).withColumn("target", F.lit("t"))
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, rows, sf)
+        got = out.collect()
+        if number < 4:
+            assert out.columns == rows.columns
+        else:
+            assert out.columns == [*rows.columns, "_copy"]
+        assert all((r["score"], r["size"], r["copy"], r["copies"], r["target"]) == (0.5, "x", "mine", 7, "t") for r in got)
+
+
+def test_quality_stage_on_an_empty_table(spark, sf):
+    empty = table(spark, sf, "documents").limit(0)
+    assert corpus_pipeline.STAGES[0][1](spark, empty, sf).count() == 0
