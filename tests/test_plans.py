@@ -30,6 +30,17 @@ def test_generate_reports_failed_calls(spark):
     assert got == {1: ("A!", None), 2: (None, "ValueError: no"), 3: (None, "no prompt"), 4: no_text, 5: no_text, 6: no_text}
 
 
+def test_generate_tasks_grow_with_prompts(spark):
+    cores = spark.sparkContext.defaultParallelism
+    few = spark.range(5).selectExpr("id", "CAST(id AS STRING) AS prompt", "'' AS system")
+    many = spark.range(40 * cores).selectExpr("id", "CAST(id AS STRING) AS prompt", "'' AS system")
+    assert generate(few, lambda p, s: p, prompts_per_task=4).rdd.getNumPartitions() == cores
+    dealt = generate(many, lambda p, s: p, prompts_per_task=4)
+    assert dealt.rdd.getNumPartitions() == 10 * cores
+    rows = dealt.collect()
+    assert sorted(r["id"] for r in rows) == list(range(40 * cores)) and all(r["raw"] == str(r["id"]) for r in rows)
+
+
 @pytest.mark.parametrize("answer", ["", None, "Sorry, I cannot refactor this.", "return )x(", "def f(x):\nreturn x"])
 def test_bad_answers_leave_files_unchanged(spark, answer):
     body = "".join(f"    if a{k}:\n        b()\n" for k in range(16))
