@@ -14,6 +14,7 @@ from quillgauge.operators import batching, budget, code, gate, messages, rewrite
 from quillgauge.operators.scale import durable, first_n
 from quillgauge.plans import generate as gen
 from quillgauge.plans import rewrite as rewriting
+from quillgauge.plans import route
 from quillgauge.plans import summarize
 from quillgauge.sources import changelog, exclusions, report, tree
 
@@ -605,6 +606,11 @@ def q_summarize(spark, sf):
     return summarize.summarize_changes(inputs.changes(spark, sf), stub)
 
 
+def q_messages(spark, sf):
+    """One message per repository of all changes, by bundle or by batches as its size says."""
+    return route.commit_messages(inputs.changes(spark, sf), stub)
+
+
 def q_rewrite(spark, sf):
     files, history = rewriting.rewrite_corpus(inputs.files(spark, sf), stub)
     return history

@@ -6,7 +6,9 @@ import pytest
 from quillgauge.functions import fixed as v
 from quillgauge.operators import batching, budget, code, messages
 from quillgauge.operators.scale import durable
+from quillgauge.catalog.queries import stub
 from quillgauge.plans.generate import generate, generate_with_escalation
+from quillgauge.plans.route import commit_messages
 from quillgauge.plans.rewrite import rewrite_corpus
 from quillgauge.plans.summarize import batch_lines, reduce_lines, summarize_changes
 
@@ -216,3 +218,33 @@ def test_a_proposal_that_breaks_its_file_is_found(spark):
     ], "project STRING, path STRING, start_line INT, end_line INT, new_text STRING, ok BOOLEAN")
     got = {r["path"]: r["applied"] for r in applied_problem(made, files).collect()}
     assert got == {"a.py": "the file would not parse: an operator is missing", "b.py": None, "c.py": "undefined names: Path, helper", "d.py": None}
+
+
+@pytest.mark.parametrize("batching", [True, False])
+def test_commit_messages_route_by_size(spark, batching):
+    df = changes(spark, {"a": 2, "b": 7, "c": 3})
+    got = {r["repo"]: r.asDict() for r in commit_messages(df, stub, max_files=3, batching=batching).collect()}
+    assert sorted(got) == ["a", "b", "c"]
+    routes = {k: r["route"] for k, r in got.items()}
+    assert routes == ({"a": "bundle", "b": "batches", "c": "bundle"} if batching else dict.fromkeys("abc", "bundle"))
+    assert {k: r["n_files"] for k, r in got.items()} == {"a": 2, "b": 7, "c": 3}
+    small = [k for k, r in routes.items() if r == "bundle"]
+    alone = generate_with_escalation(
+        messages.bundles(batching_units(df.filter(df.repo.isin(small))), ["repo"]), stub, ["repo"]
+    ).collect()
+    assert {r["repo"]: (r["level"], r["attempt_no"], r["message"], r["call_error"]) for r in alone} == {
+        k: (got[k]["level"], got[k]["attempt_no"], got[k]["message"], got[k]["call_error"]) for k in small
+    }
+    if batching:
+        reduced = summarize_changes(df.filter("repo = 'b'"), stub, max_files=3).collect()[0]
+        assert (got["b"]["message"], got["b"]["call_error"], got["b"]["n_items"]) == (
+            reduced["message"], reduced["call_error"], reduced["n_items"]
+        )
+
+
+def batching_units(df):
+    return batching.weighted(budget.compact(df))
+
+
+def test_commit_messages_of_no_changes(spark):
+    assert commit_messages(changes(spark, {}), stub, max_files=3).collect() == []
