@@ -4,10 +4,10 @@ Base spans (mail addresses, IP addresses, card and phone numbers that pass their
 always reported. Beside them two generators propose what the patterns miss: digit groups of any
 form and written-out mail addresses ("name at host dot org"). Gradient-boosted trees score each
 proposal by its format (length, digits, groups, separators, signs) and its context (the characters
-around it). They learn from proposals of the same texts: those that a base span confirms are
-positive. A threshold is calibrated on proposals held back from learning: the lowest score from
-which on at least PRECISION of them are confirmed. Proposals that reach it and overlap no base
-span are added. Learning takes FIT_ROWS proposals at most (in expectation), chosen by hash.
+around it). They learn from all proposals of the same texts: those that a base span confirms are
+positive. A threshold is calibrated on all of them too, each scored by trees that learned from the
+other half: the lowest score from which on at least PRECISION of them are confirmed. Proposals that
+reach it by the trees of all proposals and overlap no base span are added.
 
 Spark functions and Spark's own trees only. Texts are read once, in the row; only matches are
 shuffled, keyed by row. Null texts are empty. Rows without a match stay, with counts of 0. Repeated
@@ -42,7 +42,7 @@ FEATURES = (
     "length", "digits", "letters", "groups", "longest", "spaces", "hyphens", "dots", "parens", "plus", "at",
     "left_space", "left_letter", "left_digit", "left_sign", "right_space", "right_letter", "right_sign", "mail",
 )
-FIT_ROWS, TREES, DEPTH, SEED = 20_000, 12, 3, 9
+TREES, DEPTH, SEED = 12, 3, 9
 PRECISION, LEAST_HELD, BINS = 0.95, 20, 50
 
 
@@ -119,26 +119,29 @@ def confirmed(found: DataFrame) -> DataFrame:
     return proposed.join(hits.withColumn("known", F.lit(1)), [ROW, "kind", "start", "stop"], "left").withColumn("known", F.coalesce("known", F.lit(0)).cast("double"))
 
 
-def added(found: DataFrame, fit_rows: int = FIT_ROWS, precision: float = PRECISION) -> DataFrame | None:
+def added(found: DataFrame, precision: float = PRECISION) -> DataFrame | None:
     """Proposals that the trees take beside the base spans; None if there is nothing to learn."""
-    rows = durable(with_features(confirmed(found)).select(ROW, "kind", "start", "stop", "known", *FEATURES))
-    total = rows.count()
-    share = int((1 << 30) * min(1.0, fit_rows / max(total, 1)))
     place = F.xxhash64("kind", "start", "stop", *FEATURES, F.lit(SEED))
-    sample = durable(rows.withColumn("_place", F.pmod(place, F.lit(1 << 30))).filter(F.col("_place") < share).withColumn("_held", F.pmod(F.col("_place"), F.lit(4)) == 0))
-    seen = {(r["_held"], r["known"]): r["count"] for r in sample.groupBy("_held", "known").count().collect()}
-    if not seen.get((False, 0.0)) or not seen.get((False, 1.0)):
+    half = F.pmod(place, F.lit(2)).cast("int").alias("_half")
+    rows = durable(with_features(confirmed(found)).select(ROW, "kind", "start", "stop", "known", *FEATURES, half))
+    seen = {(r["_half"], r["known"]) for r in rows.select("_half", "known").distinct().collect()}
+    if len(seen) < 4:
         return None
     trees = GBTClassifier(labelCol="known", featuresCol="_x", maxIter=TREES, maxDepth=DEPTH, maxBins=16, seed=SEED)
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="_x")
-    model = trees.fit(vectors.transform(sample.filter(~F.col("_held"))))
 
-    def scored(proposals: DataFrame) -> DataFrame:
+    def scored(learned: DataFrame, proposals: DataFrame) -> DataFrame:
+        model = trees.fit(vectors.transform(learned))
         return model.transform(vectors.transform(proposals)).withColumn("_score", vector_to_array("probability")[1])
 
-    bins = {r["bin"]: (r["n"], r["good"]) for r in scored(sample.filter("_held")).groupBy(F.floor(F.col("_score") * BINS).cast("int").alias("bin")).agg(
-        F.count("*").alias("n"), F.sum("known").alias("good")).collect()}
-    # The lowest threshold from which on held-back proposals are confirmed often enough.
+    bins: dict[int, tuple[int, float]] = {}
+    for part in (0, 1):
+        counted = scored(rows.filter(F.col("_half") != part), rows.filter(F.col("_half") == part)).groupBy(
+            F.floor(F.col("_score") * BINS).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.sum("known").alias("good"))
+        for r in counted.collect():
+            n, good = bins.get(r["bin"], (0, 0.0))
+            bins[r["bin"]] = n + r["n"], good + r["good"]
+    # The lowest threshold from which on proposals are confirmed often enough.
     threshold, n, good = None, 0, 0.0
     for b in sorted(bins, reverse=True):
         n, good = n + bins[b][0], good + bins[b][1]
@@ -146,15 +149,15 @@ def added(found: DataFrame, fit_rows: int = FIT_ROWS, precision: float = PRECISI
             threshold = b / BINS
     if threshold is None:
         return None
-    return scored(rows.filter("known = 0")).filter(F.col("_score") >= threshold).select(ROW, "kind", "start", "stop")
+    return scored(rows, rows.filter("known = 0")).filter(F.col("_score") >= threshold).select(ROW, "kind", "start", "stop")
 
 
-def scan(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+def scan(docs: DataFrame) -> DataFrame:
     """A row for each row of `docs`: doc_id, base and spans, arrays of (rank, start, kind, stop)."""
     found = durable(proposals_and_spans(docs))
     order = {k: n for n, k in enumerate((*BASE, *PROPOSED))}
     every = found.select(ROW, "doc_id", F.when(F.col("kind").isin(*BASE), F.col("kind")).alias("kind"), "start", "stop")
-    more = added(found, fit_rows)
+    more = added(found)
     if more is not None:
         every = every.union(more.select(ROW, F.lit(None).cast("bigint").alias("doc_id"), "kind", "start", "stop"))
     span = F.struct(by_kind(order, F.col("kind")).alias("rank"), "start", "kind", "stop")
