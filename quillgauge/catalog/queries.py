@@ -321,8 +321,8 @@ def broken_files(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_quarantine_files(spark, sf):
     """One pass: each file is checked once and tagged; a skipped file keeps its row with a reason and no metrics."""
-    tagged = gate.tag_parsable(broken_files(spark, sf))
-    measured = code.raw_metrics(tagged, [*KEYS, "reason"])
+    tagged = gate.tag_parsable(broken_files(spark, sf), facts="facts")
+    measured = code.raw_metrics(tagged, [*KEYS, "reason"], facts="facts")
     return measured.select(*KEYS, "reason", F.when(F.col("reason").isNull(), F.col("loc")).alias("loc"))
 
 

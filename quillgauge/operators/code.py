@@ -51,9 +51,10 @@ def tokens(texts: DataFrame, keys: list[str], text: str = "content") -> DataFram
     return rows.withColumn("is_operand", c.is_operand(F.col("token")))
 
 
-def raw_metrics(texts: DataFrame, keys: list[str] = KEYS, text: str = "content") -> DataFrame:
-    rows = with_facts(texts.select(*keys, F.col(text).alias("content")))
-    return rows.select(*keys, c.raw_counts(F.col("facts")).alias("m")).select(*keys, "m.*")
+def raw_metrics(texts: DataFrame, keys: list[str] = KEYS, text: str = "content", facts: str | None = None) -> DataFrame:
+    """Line counts of each text; of its line facts, where a column of the texts (`facts`) has them already."""
+    rows = texts if facts else with_facts(texts.select(*keys, F.col(text).alias("content")))
+    return rows.select(*keys, c.raw_counts(F.col(facts or "facts")).alias("m")).select(*keys, "m.*")
 
 
 def halstead(texts: DataFrame, keys: list[str] = KEYS, text: str = "content") -> DataFrame:

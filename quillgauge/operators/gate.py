@@ -71,9 +71,17 @@ def unreadable(content: Column) -> Column:
     return F.when(content.isNull(), "unreadable").otherwise(problem)
 
 
-def tag_parsable(files: DataFrame) -> DataFrame:
-    """The files with `reason`: NULL for those that can be measured, else why not; one check a file, one pass."""
-    return files.withColumn("reason", unreadable(F.col("content")))
+def tag_parsable(files: DataFrame, facts: str | None = None) -> DataFrame:
+    """The files with `reason`: NULL for those that can be measured, else why not; one check a file, one pass.
+
+    The line facts that the check reads are kept in the column `facts`, if it is named, for what measures the files next.
+    """
+    if facts is None:
+        return files.withColumn("reason", unreadable(F.col("content")))
+    content = F.col("content")
+    read = files.withColumn("__text", c.normalize_breaks(content)).withColumn(facts, c.line_facts(F.col("__text"), c.blank_text(F.col("__text"))))
+    problem = c.syntax_problem(F.col(facts), indents=False)
+    return read.withColumn("reason", F.when(content.isNull(), "unreadable").otherwise(problem)).drop("__text")
 
 
 def split_parsable(files: DataFrame) -> tuple[DataFrame, DataFrame]:
