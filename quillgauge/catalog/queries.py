@@ -519,10 +519,12 @@ def q_reindent(spark, sf):
     """Every function's own text, moved to an indent of two."""
     files = inputs.files(spark, sf)
     wanted = F.filter("blocks", lambda b: b["kind"].isin("def", "async"))
-    lines = code.with_blocks(files).select(*KEYS, F.split("content", "\n").alias("lines"), F.inline(wanted))
-    part = F.array_join(F.slice("lines", F.col("start"), F.col("end") - F.col("start") + 1), "\n")
-    return lines.withColumn("part", part).select(
-        *KEYS, "name", F.col("line").alias("block_line"), F.length(t.detect_indent(F.col("part"))).cast("bigint").alias("indent"),
+    # The text is cut inside the file's row: beside each function, the file's lines would be copied as often.
+    parts = t.bound(F.split("content", "\n"), lambda lines: F.transform(wanted, lambda b: F.struct(
+        b["name"].alias("name"), b["line"].alias("block_line"),
+        F.array_join(F.slice(lines, b["start"], b["end"] - b["start"] + 1), "\n").alias("part"))))
+    return code.with_blocks(files).select(*KEYS, F.inline(parts)).select(
+        *KEYS, "name", "block_line", F.length(t.detect_indent(F.col("part"))).cast("bigint").alias("indent"),
         F.sha2(t.reindent(F.col("part"), F.lit("  ")), 256).alias("sha"),
     )
 
