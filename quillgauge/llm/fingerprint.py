@@ -7,8 +7,8 @@ is the sample, told by word and t. Two documents agree in a sample with a probab
 their generalised Jaccard similarity, the sum of the smaller over the sum of the larger weights.
 
 Spark functions only. Texts are shuffled once, to ranges of ids, where each meets the next one;
-counts, samples and minima of a document are made inside its range, without a further shuffle of
-words. Each range also gets the first document of the next range, so no join is needed for it.
+counts, samples, minima and what else is told of a document are made inside its range in one go, without
+a further shuffle of texts or words. Each range also gets the first document of the next range, so no join is needed for it.
 
 Null texts are empty. Texts without words have a fingerprint of their own, equal to each other's
 and to no other. Rows with null ids come first; rows with equal ids are ordered by text; the order
@@ -96,27 +96,36 @@ def sample_of(log_weight: Column) -> Column:
     return F.shiftleft(((log_a + SHIFT) * SCALE).cast("bigint"), TAG) + tag
 
 
-def fingerprints(rows: DataFrame, texts: dict[str, Column], samples: int = SAMPLES) -> DataFrame:
-    """(range, nth, one array of samples for each of `texts`) for the rows that have words.
+def fingerprints(rows: DataFrame, texts: dict[str, Column], facts: dict[str, Column], samples: int = SAMPLES) -> DataFrame:
+    """(range, nth, `facts`, one array of samples for each of `texts`) for all rows; null for a text without words.
 
-    The rows must be partitioned by `range`; then nothing here shuffles.
+    The rows must be partitioned by `range`; then nothing here shuffles. What is to be known of a row beside
+    its samples goes along as one more row of its words, without a word, so that the texts are read once.
     """
     names = list(texts)
+    fact = F.struct(*[c.alias(n) for n, c in facts.items()])
+    kind = "struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in rows.select(fact.alias("f")).schema["f"].dataType) + ">"
     # One kind of white space, so that a split needs no regular expression.
     plain = [F.translate(c, "\t\n\x0b\f\r", "     ") for c in texts.values()]
-    which = F.explode(F.array(*[F.struct(F.lit(k).alias("which"), c.alias("t")) for k, c in enumerate(plain)]))
+    parts = [F.struct(F.lit(k).alias("which"), c.alias("t"), F.lit(None).cast(kind).alias("fact")) for k, c in enumerate(plain)]
+    own = F.struct(F.lit(-1).alias("which"), F.lit("").alias("t"), fact.alias("fact"))
     words = (
-        rows.select("range", "nth", which.alias("v"))
-        .select("range", "nth", "v.which", F.explode(F.split("v.t", " ")).alias("word"))
-        .filter("word <> ''").select("range", "nth", F.xxhash64("word").alias("h"), "which")
+        rows.select("range", "nth", F.explode(F.array(*parts, own)).alias("v"))
+        .select("range", "nth", "v.which", "v.fact", F.explode(F.split("v.t", " ")).alias("word"))
+        .filter("word <> '' OR which < 0")
+        .select("range", "nth", "fact", F.when(F.col("which") >= 0, F.xxhash64("word")).alias("h"), "which")
     )
-    counts = words.groupBy("range", "nth", "h").agg(*[F.sum((F.col("which") == k).cast("int")).alias(f"w{k}") for k in range(len(names))])
+    counts = words.groupBy("range", "nth", "h", "fact").agg(*[F.sum((F.col("which") == k).cast("int")).alias(f"w{k}") for k in range(len(names))])
     # The logarithm of a count is taken once, not in each position; of 0 it is null.
-    logs = counts.select("range", "nth", "h", *[F.log(F.col(f"w{k}").cast("double")).alias(f"w{k}") for k in range(len(names))])
-    drawn = with_draws(logs.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("k")))
-    least = drawn.groupBy("range", "nth", "k").agg(*[F.min(sample_of(F.col(f"w{n}"))).alias(name) for n, name in enumerate(names)])
-    return least.groupBy("range", "nth").agg(F.array_sort(F.collect_list(F.struct("k", *names))).alias("rows")).select(
-        "range", "nth", *[F.when(F.col("rows")[0][name].isNotNull(), F.col(f"rows.{name}")).alias(name) for name in names]
+    logs = counts.select("range", "nth", "h", "fact", *[F.log(F.col(f"w{k}").cast("double")).alias(f"w{k}") for k in range(len(names))])
+    places = F.when(F.col("h").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.lit(samples - 1)))
+    drawn = with_draws(logs.select("*", F.explode(places).alias("k")))
+    least = drawn.groupBy("range", "nth", "k", "fact").agg(*[F.min(sample_of(F.col(f"w{n}"))).alias(name) for n, name in enumerate(names)])
+    packed = least.groupBy("range", "nth").agg(F.array_sort(F.collect_list(F.struct("k", *names, "fact"))).alias("rows"))
+    drawn_rows = F.slice("rows", 2, samples)
+    return packed.select(
+        "range", "nth", *[F.col("rows")[0]["fact"][n].alias(n) for n in facts],
+        *[F.when(F.get("rows", F.lit(1))[name].isNotNull(), drawn_rows[name]).alias(name) for name in names],
     )
 
 
@@ -142,13 +151,14 @@ def edited(text: Column, after: Column) -> Column:
 def digest(docs: DataFrame, samples: int = SAMPLES, rows: int = RANGE_ROWS) -> DataFrame:
     """Fingerprints of each row's text and edited text, and their likeness to each other and the next."""
     ordered = with_next(docs, rows).withColumn("edited", edited(F.col("text"), F.col("next")))
-    prints = fingerprints(ordered, {"print": F.col("text"), "edited_print": F.col("edited")}, samples)
-    facts = ordered.select(
-        "range", "nth", "extra", "doc_id", F.char_length("text").cast("bigint").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")
-    )
+    facts = {
+        "extra": F.col("extra"), "doc_id": F.col("doc_id"), "n_chars": F.char_length("text").cast("bigint"),
+        "edited_sha256": F.sha2(F.col("edited").cast("binary"), 256),
+    }
+    prints = fingerprints(ordered, {"print": F.col("text"), "edited_print": F.col("edited")}, facts, samples)
     order = Window.partitionBy("range").orderBy("nth")
     return (
-        facts.join(prints, ["range", "nth"], "left")
+        prints
         .withColumn("next_print", F.lead("print").over(order))
         .filter("extra = 0")
         .select(

@@ -103,6 +103,12 @@ def test_fingerprints(spark, edge, documents, rows):
     assert np.sqrt(np.mean(np.square(errors))) < 0.12 and abs(np.mean(errors)) < 0.03
 
 
+def test_fingerprints_shuffle_the_texts_once(documents):
+    plan = fingerprint.digest(documents)._jdf.queryExecution().executedPlan().toString()
+    # The rows of the ranges, and the first row of each range.
+    assert plan.count("Exchange hashpartitioning(range") == 2
+
+
 def test_fingerprints_of_no_rows(nothing):
     assert fingerprint.digest(nothing).collect() == []
 
