@@ -4,9 +4,9 @@ Texts are cut into passages of WINDOW words, each half over the next, and weight
 over hashed words (the square of the inverse document frequency, so that rare words decide); document
 frequencies count the half passages of the whole corpus. A randomised
 singular value decomposition of the passage matrix, with the power iterations done by Spark
-tasks, gives the latent space. It is fitted on the benchmark and on at most `fit_passages`
-passages chosen by hash (in expectation), with benchmark rows weighted by ITEM_WEIGHT, for the space
-has to tell the items apart; every passage of every document is then projected
+tasks, gives the latent space. It is fitted on the benchmark and on every passage of every document.
+The passages' products are scaled as if there were `fit_passages` of them at most, and benchmark rows are
+weighted by ITEM_WEIGHT, for the space has to tell the items apart at any size of the corpus; every passage of every document is then projected
 and compared by cosine with every benchmark item. Documents' passages start at every FINE-th word;
 items shorter than WINDOW are also compared with passages of half that length, for in a whole one the
 words around a short item would outweigh it. The items go through in blocks of MAX_ITEMS, so
@@ -23,28 +23,36 @@ tables give empty results. Extra columns do not matter. No pair of documents is
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgauge.llm.common import PARTIALS, partial_rows, slices, summed
-from quillgauge.llm.tokens import WordIds, bucket
+from quillgauge.llm.tokens import bucket
 from quillgauge.operators.scale import durable
 
 STEP, WINDOW, FINE = 24, 48, 12
 BUCKETS = 1 << 15
+PAD = BUCKETS
 RANK, EXTRA, POWER, RANK_ITEMS = 48, 8, 1, 16
 ITEM_WEIGHT = 10.0
 FIT_PASSAGES, MAX_ITEMS, GRAM_ROWS = 20_000, 4_096, 512
+FIT_STEPS, READ_ROWS, SUM_STEPS, TASK_STEPS = 1_024, 16, 256, 1 << 18
 COSINE = 0.7
 LCS_SHARE, PARAPHRASE_SHARE, ANSWER_WORDS = 0.75, 0.55, 6
 PIECE = 1_365 * STEP
 WORDS = re.compile(r"\w+")
+# Symbols beyond ASCII, and a table that makes blanks of those in ASCII.
+SYMBOLS = re.compile(r"[^\w\x00-\x7f]+")
+BLANKED = bytes(c if c > 127 or WORDS.match(chr(c)) else 32 for c in range(256))
 
 
 def words_of(text: str | None) -> list[str]:
@@ -52,13 +60,23 @@ def words_of(text: str | None) -> list[str]:
     return WORDS.findall((text or "").lower())
 
 
-def bucket_ids() -> WordIds:
-    return WordIds(lambda w: bucket(w, BUCKETS))
+def word_codes(texts: list[str | None]) -> list[np.ndarray]:
+    """Bucket numbers of the words of each text: those of `words_of`, cut and told apart by Arrow."""
+    plain = [SYMBOLS.sub(" ", low) if not low.isascii() else low for low in ((t or "").lower() for t in texts)]
+    blanked = [p.encode("utf-8", "surrogatepass").translate(BLANKED) for p in plain]
+    lists = pc.ascii_split_whitespace(pa.array(blanked, pa.large_binary()).view(pa.large_string()))
+    words = lists.flatten().dictionary_encode()
+    known = words.dictionary.view(pa.large_binary()).to_numpy(zero_copy_only=False)
+    of = (np.fromiter(map(zlib.crc32, known), np.uint32, len(known)) % BUCKETS).astype(np.int32)
+    # Blanks at the ends of a text leave empty words, which are none.
+    of[pc.binary_length(words.dictionary).to_numpy() == 0] = PAD
+    codes, ends = of[words.indices.to_numpy()], lists.offsets.to_numpy()
+    pieces = [codes[one:end] for one, end in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    return [p[p != PAD] for p in pieces]
 
 
-def passages(text: str | None, ids: WordIds) -> Iterator[np.ndarray]:
+def passages(codes: np.ndarray) -> Iterator[np.ndarray]:
     """Bucket numbers of a text's words, in pieces of whole steps; pieces share what a passage needs."""
-    codes = ids.of(words_of(text))
     for start in range(0, max(len(codes) - WINDOW + FINE, min(len(codes), 1)), PIECE):
         yield codes[start : start + PIECE + WINDOW - FINE]
 
@@ -68,33 +86,90 @@ def windows(codes: np.ndarray) -> Iterator[np.ndarray]:
         yield codes[start : start + WINDOW]
 
 
-def passage_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many of one task's half passages hold each bucket; the last entry is their number."""
-    ids, total = bucket_ids(), np.zeros(BUCKETS + 1, np.int64)
+# What a step of STEP words is to its passages: the last of its text, the first of two, alone, or the
+# first step of the next row, repeated for the passage that both share.
+LAST, FIRST, ALONE, SHARED = range(4)
+STEPS = "codes BINARY, roles BINARY"
 
-    def count(keys: list[np.ndarray]) -> None:
-        seen = np.sort(np.concatenate(keys))
-        seen = seen[np.diff(seen, prepend=-1) != 0]
-        total[:BUCKETS] += np.bincount(seen % BUCKETS, minlength=BUCKETS)
 
+def step_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The steps of all texts, filled up with PAD, and their roles; a row holds FIT_STEPS of them and one more at most."""
     for batch in slices(batches):
-        keys, steps = [], 0
-        for text in batch.column("text").to_pylist():
-            codes = ids.of(words_of(text), np.int32)
-            for start in range(0, len(codes), PIECE):
-                piece = codes[start : start + PIECE]
-                # A key holds a step's number and a bucket in 31 bits.
-                if steps + PIECE // STEP >= 1 << 16:
-                    count(keys)
-                    keys, steps = [], 0
-                keys.append((np.arange(len(piece), dtype=np.int32) // STEP + steps) * BUCKETS + piece)
-                used = -(-len(piece) // STEP)
-                steps, total[BUCKETS] = steps + used, total[BUCKETS] + used
-        if keys:
-            count(keys)
+        texts = [c for c in word_codes(batch.column("text").to_pylist()) if len(c)]
+        sizes = np.array([-(-len(c) // STEP) for c in texts], np.int64)
+        steps, ends = np.full((int(sizes.sum()), STEP), PAD, np.uint16), np.cumsum(sizes)
+        flat, roles = steps.reshape(-1), np.full(len(steps), FIRST, np.uint8)
+        for codes, start in zip(texts, (ends - sizes).tolist(), strict=True):
+            flat[start * STEP : start * STEP + len(codes)] = codes
+        roles[ends - 1] = np.where(sizes > 1, LAST, ALONE)
+        made = []
+        for start in range(0, len(steps), FIT_STEPS):
+            end = start + FIT_STEPS
+            more = end < len(steps) and roles[end - 1] == FIRST
+            role = np.append(roles[start:end], np.full(int(more), SHARED, np.uint8))
+            made.append((steps[start : end + int(more)].tobytes(), role.tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], pa.binary()) for k in (0, 1)], ["codes", "roles"])
+
+
+def read_steps(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The rows of steps, some joined to one; each stands for itself, so their roles stay as they are."""
+    for batch in slices(batches, READ_ROWS):
+        codes, roles = (b"".join(batch.column(c).to_pylist()) for c in ("codes", "roles"))
+        yield np.frombuffer(codes, np.uint16).reshape(-1, STEP), np.frombuffer(roles, np.uint8)
+
+
+def runs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different codes of each row as (code, count), and where each row's begin."""
+    rows = np.sort(rows, axis=1)
+    fresh = np.ones(rows.shape, bool)
+    fresh[:, 1:] = rows[:, 1:] != rows[:, :-1]
+    at = np.flatnonzero(fresh)
+    edges = np.append(0, np.cumsum(fresh.sum(1))[:-1]) if len(rows) else np.zeros(0, np.int64)
+    return rows.reshape(-1)[at], np.diff(at, append=rows.size), edges
+
+
+def passage_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of one task's half passages hold each bucket; the last entry is their number."""
+    total = np.zeros(BUCKETS + 1, np.int64)
+    for steps, roles in read_steps(batches):
+        own = steps[roles != SHARED]
+        total[:BUCKETS] += np.bincount(runs(own)[0], minlength=BUCKETS + 1)[:BUCKETS]
+        total[BUCKETS] += len(own)
     yield from partial_rows(total, TaskContext.get().partitionId())
 
 
+def add_gram_of_steps(outer: np.ndarray, steps: np.ndarray, roles: np.ndarray, idf: np.ndarray, right: np.ndarray) -> None:
+    """Adds A'(A right) for the TF-IDF rows of the passages of some steps; `right` is weighted by `idf`, PAD is 0 in both."""
+    sums = np.empty((len(steps), right.shape[1]), right.dtype)
+    for start in range(0, len(steps), SUM_STEPS):
+        np.take(right, steps[start : start + SUM_STEPS], axis=0).sum(1, out=sums[start : start + SUM_STEPS])
+    one, alone = np.flatnonzero(roles == FIRST), np.flatnonzero(roles == ALONE)
+    made = np.zeros(sums.shape, sums.dtype)
+    for rows, inner in ((np.hstack([steps[one], steps[one + 1]]), sums[one] + sums[one + 1]), (steps[alone], sums[alone])):
+        if not len(rows):
+            continue
+        codes, counts, edges = runs(rows)
+        norms = np.add.reduceat((counts * idf[codes]) ** 2, edges)
+        inner /= np.maximum(norms, 1e-18).astype(inner.dtype)[:, None]
+        if rows.shape[1] == STEP:
+            made[alone] += inner
+        else:
+            made[one] += inner
+            made[one + 1] += inner
+    flat = steps.reshape(-1)
+    order = np.argsort(flat, kind="stable")
+    edges = np.flatnonzero(np.diff(flat[order].astype(np.int32), prepend=-1))
+    places, often = order // STEP, np.diff(edges, append=len(flat))
+    # Codes that occur equally often are summed together.
+    for times in np.unique(often).tolist():
+        starts = edges[often == times]
+        seen = flat[order[starts]]
+        if seen[-1] == PAD:
+            starts, seen = starts[:-1], seen[:-1]
+        part = made[places[starts]] if times == 1 else made[places[starts[:, None] + np.arange(times)]].sum(1)
+        outer[seen] += part * idf[seen, None]
+
+
 def weighted(groups: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """TF-IDF rows as (row, bucket, value) triples, each row scaled to length 1."""
     rows, cols, values = [], [], []
@@ -135,6 +210,10 @@ class Space:
 
     basis: np.ndarray
 
+    @cached_property
+    def filled(self) -> np.ndarray:
+        return np.append(self.basis, np.zeros((1, self.basis.shape[1]), self.basis.dtype), axis=0)
+
     def project(self, codes: np.ndarray) -> np.ndarray:
         """Vectors of the windows of one piece: sums over steps, then over two steps."""
         steps = np.add.reduceat(np.take(self.basis, codes, axis=0), np.arange(0, len(codes), STEP), axis=0)
@@ -142,44 +221,41 @@ class Space:
 
     def passages(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Vectors of the passages of WINDOW words and of half as many that start at every FINE-th word."""
-        steps = np.add.reduceat(np.take(self.basis, codes, axis=0), np.arange(0, len(codes), FINE), axis=0)
+        # Filled up to whole steps with PAD, whose row is zero.
+        filled = np.full((-(-len(codes) // FINE), FINE), PAD, codes.dtype)
+        filled.reshape(-1)[: len(codes)] = codes
+        steps = np.take(self.filled, filled, axis=0).sum(1)
         half = steps[:-1] + steps[1:] if len(steps) > 1 else steps
         return unit(half[:-2] + half[2:] if len(half) > 2 else steps.sum(0, keepdims=True)), unit(half)
 
 
-def background(docs: DataFrame, fit_passages: int = FIT_PASSAGES) -> tuple[np.ndarray, DataFrame]:
-    """Weights of the buckets over all texts, and a bounded sample of passages; the same for all blocks."""
-    texts = docs.select("doc_id", "text")
-    totals = summed(texts.mapInArrow(passage_counts, PARTIALS), (BUCKETS + 1,))
+def background(docs: DataFrame) -> tuple[np.ndarray, DataFrame, float]:
+    """Weights of the buckets over all texts, the steps of all texts, and their number; the same for all blocks."""
+    steps = durable(docs.select("text").mapInArrow(step_rows, STEPS))
+    totals = summed(steps.mapInArrow(passage_counts, PARTIALS), (BUCKETS + 1,))
     number = max(float(totals[BUCKETS]), 1.0)
-    idf = np.log((number + 1) / (totals[:BUCKETS].astype(np.float64) + 0.5)).clip(0) ** 2
+    return np.log((number + 1) / (totals[:BUCKETS].astype(np.float64) + 0.5)).clip(0) ** 2, steps, number
 
-    def cut_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = bucket_ids()
-        for batch in slices(batches):
-            made = [g.astype(np.int32).tobytes() for t in batch.column("text").to_pylist() for c in passages(t, ids) for g in windows(c)]
-            yield pa.RecordBatch.from_pydict({"codes": pa.array(made, pa.binary())})
 
-    # Whole documents, chosen by their ids alone, with as many passages as asked for on average.
-    chosen = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, fit_passages / number))
-    return idf, durable(texts.filter(chosen).select("text").mapInArrow(cut_up, "codes BINARY"))
-
-
-def fit(idf: np.ndarray, sample: DataFrame, items: list[list[np.ndarray]]) -> Space:
-    """Latent space from the windows of a block of items and the sample of passages."""
+def fit(idf: np.ndarray, steps: DataFrame, number: float, items: list[list[np.ndarray]], fit_passages: int = FIT_PASSAGES) -> Space:
+    """Latent space from the windows of a block of items and all passages of the corpus."""
     own, rank = [g for windows_of in items for g in windows_of], max(RANK, len(items) // RANK_ITEMS)
     basis = np.linalg.qr(np.random.default_rng(23).standard_normal((BUCKETS, rank + EXTRA)))[0]
-    context = sample.sparkSession.sparkContext
+    context = steps.sparkSession.sparkContext
+    # A task gives a whole array, so small shares are read together.
+    shares = steps.coalesce(max(context.defaultParallelism, int(number) // TASK_STEPS))
     for _ in range(POWER + 1):
-        sent = context.broadcast((idf, basis))
+        sent = context.broadcast((np.append(idf, 0), np.append(basis * idf[:, None], np.zeros((1, basis.shape[1])), axis=0).astype(np.float32)))
 
         def times(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(sent.value[1].shape)
-            for batch in slices(batches, 4096):
-                total += gram_times([np.frombuffer(c, np.int32) for c in batch.column("codes").to_pylist()], *sent.value)
-            yield from partial_rows(total, TaskContext.get().partitionId())
-
-        product = summed(sample.mapInArrow(times, PARTIALS), basis.shape).astype(np.float64) + ITEM_WEIGHT * gram_times(own, idf, basis)
+            weights, right = sent.value
+            total = np.zeros(right.shape)
+            for codes, roles in read_steps(batches):
+                add_gram_of_steps(total, codes, roles, weights, right)
+            yield from partial_rows(total[:BUCKETS], TaskContext.get().partitionId())
+
+        product = summed(shares.mapInArrow(times, PARTIALS), basis.shape).astype(np.float64) * min(1.0, fit_passages / number)
+        product += ITEM_WEIGHT * gram_times(own, idf, basis)
         last, basis = basis, np.linalg.qr(product)[0]
     # Right singular vectors from the small problem in the subspace found.
     values, turn = np.linalg.eigh(last.T @ product)
@@ -233,14 +309,15 @@ def search(texts: DataFrame, space: Space, items: Items, cosine: float = COSINE)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, items = sent.value
-        ids, short = bucket_ids(), np.array([len(items.words[k]) < WINDOW for k in items.owner], bool)
+        short = np.array([len(items.words[k]) < WINDOW for k in items.owner], bool)
         sides = [(np.ascontiguousarray(items.vectors[of].T), items.owner[of]) for of in (np.ones(len(short), bool), short)]
         for batch in slices(batches):
             found = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            texts = batch.column("text").to_pylist()
+            for doc, text, whole in zip(batch.column("doc_id").to_pylist(), texts, word_codes(texts), strict=True):
                 best: dict[int, tuple] = {}
                 words, at = None, 0
-                for codes in passages(text, ids):
+                for codes in passages(whole):
                     if not len(codes):
                         continue
                     pairs: dict[tuple[int, int], float] = {}
@@ -274,15 +351,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, fit_passages: int = FIT_PASSAGE
     found, block, known = None, [], None
 
     def finish(block: list, known: tuple | None) -> tuple[DataFrame | None, tuple | None]:
-        ids = bucket_ids()
-        words = [words_of(t) for _, t in block]
+        words, coded = [words_of(t) for _, t in block], word_codes([t for _, t in block])
         kept = [k for k, w in enumerate(words) if w]
         if not kept:
             return None, known
-        groups = [[g for codes in passages(block[k][1], ids) for g in windows(codes)] for k in kept]
-        known = known or background(docs, fit_passages)
-        space = fit(*known, groups)
-        vectors = [np.concatenate([space.project(c) for c in passages(block[k][1], ids)]) for k in kept]
+        groups = [[g for codes in passages(coded[k]) for g in windows(codes)] for k in kept]
+        known = known or background(docs)
+        space = fit(*known, groups, fit_passages)
+        vectors = [np.concatenate([space.project(c) for c in passages(coded[k])]) for k in kept]
         weight = np.linalg.norm(space.basis, axis=1)
         heavy = np.where(weight > np.median(weight[weight > 0]) if (weight > 0).any() else weight > 0, weight, 0)
         made = Items(

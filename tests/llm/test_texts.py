@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillgauge.llm import decontaminate, fingerprint, html, mixing, neardup
@@ -290,3 +291,37 @@ def test_pages_of_the_table(spark, sf):
         inner = re.sub(r"<[^>]*$", "", re.search(r"(?s)<article>(.*?)(</article>|$)", source[r["page_id"]])[1])
         parts = [" ".join(html.unescape(re.sub("</?b>|<br>", "", p)).split()) for p in re.split("</?(?:p|h1)>", inner)]
         assert r["text"] == "\n".join(p for p in parts if p)
+
+
+ODD_TEXTS = ["Ünïcödé_𝒳 don't—stop “now” ΣΑΣ İi x\x1cy z　w ١٢ ² é́", None, "", " .,; \t\n", "one", "  Two, TWO two. ", "a b c d e f g " * 11, "k%d " * 24 % tuple(range(24))]
+
+
+def test_words_are_cut_as_by_the_pattern():
+    got = decontaminate.word_codes(ODD_TEXTS)
+    assert [g.tolist() for g in got] == [[decontaminate.bucket(w, decontaminate.BUCKETS) for w in decontaminate.words_of(t)] for t in ODD_TEXTS]
+
+
+@pytest.mark.parametrize("fit_steps", [2, 1024])
+def test_space_is_fitted_on_every_passage(monkeypatch, documents, fit_steps):
+    monkeypatch.setattr(decontaminate, "FIT_STEPS", fit_steps)
+    texts = ODD_TEXTS + [r["text"] for r in documents.limit(40).collect()]
+    rng = np.random.default_rng(0)
+    idf, right = np.append(rng.random(decontaminate.BUCKETS), 0), rng.standard_normal((decontaminate.BUCKETS, 5))
+    weighed = np.append(right * idf[:-1, None], np.zeros((1, 5)), axis=0)
+    got, number = np.zeros((decontaminate.BUCKETS + 1, 5)), 0
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    for steps, roles in decontaminate.read_steps(decontaminate.step_rows([batch])):
+        decontaminate.add_gram_of_steps(got, steps, roles, idf, weighed)
+        number += (roles != decontaminate.SHARED).sum()
+    groups = [g for c in decontaminate.word_codes(texts) if len(c) for g in decontaminate.windows(c)]
+    assert np.allclose(got[:-1], decontaminate.gram_times(groups, idf[:-1], right)) and not got[-1].any()
+    assert number == sum(-(-len(decontaminate.words_of(t)) // decontaminate.STEP) for t in texts)
+
+
+def test_no_passage_is_left_out_of_the_fit(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"word{k} other{k} text") for k in range(60)], "doc_id BIGINT, text STRING")
+    idf, steps, number = decontaminate.background(docs)
+    assert number == 60
+    first = decontaminate.fit(idf, steps, number, [[np.array([1, 2, 3])]], fit_passages=5)
+    # Each text has a word of its own in the space, however few passages the corpus counts for.
+    assert all(np.abs(first.basis[decontaminate.word_codes([f"word{k}"])[0]]).max() > 0 for k in range(60))
