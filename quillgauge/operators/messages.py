@@ -69,9 +69,10 @@ def log_lines(changes: DataFrame) -> DataFrame:
 def bundle_runs(changes: DataFrame, keys: list[str], hot_rows: int = HOT_GROUP_ROWS, run: int = 2000) -> DataFrame:
     """Listings of each group as ordered runs of lines: whole at any size of a group.
 
-    Runs are put together by many tasks even for one group.
+    Runs are put together by many tasks even for one group. Only the lines are moved, never a diff.
     """
-    placed = position(log_lines(changes), keys, [F.col("path")], "_p", hot_rows).withColumn(
+    lines = log_lines(changes).select(*keys, *[c for c in ["path"] if c not in keys], *BUNDLE_FIELDS[:3])
+    placed = position(lines, keys, [F.col("path")], "_p", hot_rows).withColumn(
         "run", F.floor((F.col("_p") - 1) / run).cast("bigint")
     )
     return concat_rows(placed, [*keys, "run"], "_p", BUNDLE_FIELDS[:3])

@@ -11,7 +11,7 @@ from quillgauge.functions import fixed as v
 from quillgauge.operators.batching import is_large, weighted
 from quillgauge.operators.budget import compact
 from quillgauge.operators.messages import bundles
-from quillgauge.operators.scale import HOT_GROUP_ROWS, durable
+from quillgauge.operators.scale import HOT_GROUP_ROWS, broadcast_if_small, durable
 from quillgauge.plans.generate import Generator, generate_with_escalation
 from quillgauge.plans.summarize import summarize_changes
 
@@ -27,16 +27,17 @@ def commit_messages(
     diff, is summarised in batches and reduced to one message (`route` 'batches', `level`
     'reduce'); any other is one change record taken through the escalation levels (`route`
     'bundle'). With `batching` off, or `max_files` 0, every repository takes the bundle route.
-    Sizes are one aggregation over all changes; the split is a semi and an anti join on the
-    written sizes, so both routes run in the same plan over their own repositories only, and a
+    Sizes are one aggregation over all changes, without their diffs; the split is a semi and an anti join on
+    the written sizes, broadcast if they are few, so both routes run in the same plan over their own
+    repositories only, each change is written by its own route alone, and a
     repository of a third of all rows is cut by the batches and bundle runs as before. A
     repository without changes has no row. A failed call leaves `message` null with its
     `call_error`, as on each route alone.
     """
-    units = durable(weighted(compact(changes)))
+    units = weighted(compact(changes))
     sizes = durable(is_large(units, max_files, max_chars, batching))
-    large = sizes.filter("large").select("repo")
-    small = units.join(large, "repo", "left_anti")
+    large = broadcast_if_small(sizes.filter("large").select("repo"))
+    small = durable(units.join(large, "repo", "left_anti"))
     one = generate_with_escalation(bundles(small, ["repo"], hot_rows=hot_rows), fn, ["repo"], system).select(
         "repo", F.lit("bundle").alias("route"), "level", "attempt_no",
         F.lit(None).cast("bigint").alias("n_items"), "message", "call_error",

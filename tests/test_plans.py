@@ -248,3 +248,19 @@ def batching_units(df):
 
 def test_commit_messages_of_no_changes(spark):
     assert commit_messages(changes(spark, {}), stub, max_files=3).collect() == []
+
+
+def test_each_route_writes_its_own_changes_only(spark, monkeypatch):
+    from quillgauge.plans import route
+
+    written, plain = [], route.durable
+    monkeypatch.setattr(route, "durable", lambda df: written.append((df.columns, df.count())) or plain(df))
+    rows = commit_messages(changes(spark, {"a": 2, "b": 7, "c": 3}), stub, max_files=3).collect()
+    assert len(rows) == 3 and sum(n for columns, n in written if "diff_head" in columns) == 5
+
+
+def test_listings_move_no_diffs(spark, monkeypatch):
+    moved, plain = [], messages.position
+    monkeypatch.setattr(messages, "position", lambda df, *a: moved.append(df.columns) or plain(df, *a))
+    made = messages.bundle_runs(batching_units(changes(spark, {"a": 5})), ["repo"], run=2)
+    assert made.count() == 3 and moved == [["repo", "path", "porcelain", "name_status", "diff_stat"]]
