@@ -45,13 +45,13 @@ PAD = BUCKETS
 RANK, EXTRA, POWER, RANK_ITEMS = 48, 8, 1, 16
 ITEM_WEIGHT = 10.0
 FIT_PASSAGES, MAX_ITEMS, GRAM_ROWS = 20_000, 4_096, 512
-FIT_STEPS, READ_ROWS, SUM_STEPS, TASK_STEPS = 1_024, 16, 256, 1 << 18
+FIT_STEPS, READ_ROWS, SUM_STEPS, TASK_STEPS, FREQUENT = 1_024, 16, 256, 1 << 18, 64
 COSINE = 0.7
 LCS_SHARE, PARAPHRASE_SHARE, ANSWER_WORDS = 0.75, 0.55, 6
 PIECE = 1_365 * STEP
 WORDS = re.compile(r"\w+")
 # Symbols beyond ASCII, and a table that makes blanks of those in ASCII.
-SYMBOLS = re.compile(r"[^\w\x00-\x7f]+")
+SYMBOLS, FEW_SYMBOLS = re.compile(r"[^\w\x00-\x7f]"), 16
 BLANKED = bytes(c if c > 127 or WORDS.match(chr(c)) else 32 for c in range(256))
 
 
@@ -60,9 +60,19 @@ def words_of(text: str | None) -> list[str]:
     return WORDS.findall((text or "").lower())
 
 
+def without_symbols(text: str) -> str:
+    """`text` with blanks for its symbols beyond ASCII, of which most texts hold few different ones or none."""
+    symbols = SYMBOLS.findall("".join(set(text)))
+    if len(symbols) > FEW_SYMBOLS:
+        return SYMBOLS.sub(" ", text)
+    for symbol in "".join(symbols):
+        text = text.replace(symbol, " ")
+    return text
+
+
 def word_codes(texts: list[str | None]) -> list[np.ndarray]:
     """Bucket numbers of the words of each text: those of `words_of`, cut and told apart by Arrow."""
-    plain = [SYMBOLS.sub(" ", low) if not low.isascii() else low for low in ((t or "").lower() for t in texts)]
+    plain = [low if low.isascii() else without_symbols(low) for low in ((t or "").lower() for t in texts)]
     blanked = [p.encode("utf-8", "surrogatepass").translate(BLANKED) for p in plain]
     lists = pc.ascii_split_whitespace(pa.array(blanked, pa.large_binary()).view(pa.large_string()))
     words = lists.flatten().dictionary_encode()
@@ -159,15 +169,22 @@ def add_gram_of_steps(outer: np.ndarray, steps: np.ndarray, roles: np.ndarray, i
     flat = steps.reshape(-1)
     order = np.argsort(flat, kind="stable")
     edges = np.flatnonzero(np.diff(flat[order].astype(np.int32), prepend=-1))
-    places, often = order // STEP, np.diff(edges, append=len(flat))
-    # Codes that occur equally often are summed together.
-    for times in np.unique(often).tolist():
-        starts = edges[often == times]
-        seen = flat[order[starts]]
-        if seen[-1] == PAD:
-            starts, seen = starts[:-1], seen[:-1]
-        part = made[places[starts]] if times == 1 else made[places[starts[:, None] + np.arange(times)]].sum(1)
-        outer[seen] += part * idf[seen, None]
+    if len(edges) and flat[order[edges[-1]]] == PAD:
+        edges, order = edges[:-1], order[: edges[-1]]
+    places, often = order // STEP, np.diff(edges, append=len(order))
+    # Codes in falling order of their number: the frequent ones are summed one by one, of the
+    # others all first places are added, then all second ones, and so on.
+    falling = np.argsort(-often, kind="stable")
+    edges, often = edges[falling], often[falling]
+    part = np.zeros((len(edges), made.shape[1]), made.dtype)
+    frequent = int(np.searchsorted(-often, -FREQUENT, side="left"))
+    for k in range(frequent):
+        part[k] = made[places[edges[k] : edges[k] + often[k]]].sum(0)
+    for k in range(FREQUENT):
+        end = max(int(np.searchsorted(-often, -k, side="left")), frequent)
+        part[frequent:end] += made[places[edges[frequent:end] + k]]
+    seen = flat[order[edges]]
+    outer[seen] += part * idf[seen, None].astype(part.dtype)
 
 
 def weighted(groups: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -219,14 +236,27 @@ class Space:
         steps = np.add.reduceat(np.take(self.basis, codes, axis=0), np.arange(0, len(codes), STEP), axis=0)
         return unit(steps[:-1] + steps[1:] if len(steps) > 1 else steps)
 
-    def passages(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Vectors of the passages of WINDOW words and of half as many that start at every FINE-th word."""
-        # Filled up to whole steps with PAD, whose row is zero.
-        filled = np.full((-(-len(codes) // FINE), FINE), PAD, codes.dtype)
-        filled.reshape(-1)[: len(codes)] = codes
-        steps = np.take(self.filled, filled, axis=0).sum(1)
-        half = steps[:-1] + steps[1:] if len(steps) > 1 else steps
-        return unit(half[:-2] + half[2:] if len(half) > 2 else steps.sum(0, keepdims=True)), unit(half)
+    def passages(self, pieces: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Vectors of the passages of WINDOW words, then of half as many, that start at every FINE-th word
+        of some pieces; with each its piece and its number there."""
+        # Filled up with PAD, whose row is zero, to whole steps and to the steps of one passage at least.
+        sizes = np.array([-(-len(p) // FINE) for p in pieces])
+        ends = np.cumsum(np.maximum(sizes, WINDOW // FINE))
+        starts = np.append(0, ends[:-1])
+        filled = np.full((int(ends[-1]), FINE), PAD, np.int32)
+        flat = filled.reshape(-1)
+        for codes, start in zip(pieces, (starts * FINE).tolist(), strict=True):
+            flat[start : start + len(codes)] = codes
+        steps = np.empty((len(filled) + 3, self.basis.shape[1]), self.basis.dtype)
+        steps[len(filled) :] = 0
+        for start in range(0, len(filled), SUM_STEPS):
+            np.take(self.filled, filled[start : start + SUM_STEPS], axis=0).sum(1, out=steps[start : min(start + SUM_STEPS, len(filled))])
+        half = steps[:-1] + steps[1:]
+        for made, lost in ((half[:-2] + half[2:], 3), (half, 1)):
+            counts = np.maximum(sizes - lost, 1)
+            piece = np.repeat(np.arange(len(pieces)), counts)
+            number = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
+            yield unit(made[starts[piece] + number]), piece, number
 
 
 def background(docs: DataFrame) -> tuple[np.ndarray, DataFrame, float]:
@@ -287,6 +317,25 @@ class Items:
     owner: np.ndarray
 
 
+def in_groups(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Where runs of pieces start and end that hold `most` words together, or one piece."""
+    start, total = 0, 0
+    for k, length in enumerate(lengths):
+        if total + length > most and k > start:
+            yield start, k
+            start, total = k, 0
+        total += length
+    if start < len(lengths):
+        yield start, len(lengths)
+
+
+def most_common(item: tuple[np.ndarray, np.ndarray], codes: np.ndarray) -> int:
+    """No common subsequence is longer: how many words of an item (codes in order, counts) occur among `codes`."""
+    kinds, counts = item
+    place = np.minimum(np.searchsorted(kinds, codes), len(kinds) - 1)
+    return int(np.minimum(np.bincount(place[kinds[place] == codes], minlength=len(kinds)), counts).sum())
+
+
 def answer_of(words: list[str], weight: np.ndarray) -> list[str]:
     """The item's last words that carry weight, in order: what a paraphrase cannot do without."""
     heavy = [w for w in words if weight[bucket(w, BUCKETS)] > 0]
@@ -311,31 +360,34 @@ def search(texts: DataFrame, space: Space, items: Items, cosine: float = COSINE)
         space, items = sent.value
         short = np.array([len(items.words[k]) < WINDOW for k in items.owner], bool)
         sides = [(np.ascontiguousarray(items.vectors[of].T), items.owner[of]) for of in (np.ones(len(short), bool), short)]
+        kinds_of = [np.unique([bucket(w, BUCKETS) for w in words], return_counts=True) for words in items.words]
         for batch in slices(batches):
-            found = []
-            texts = batch.column("text").to_pylist()
-            for doc, text, whole in zip(batch.column("doc_id").to_pylist(), texts, word_codes(texts), strict=True):
-                best: dict[int, tuple] = {}
-                words, at = None, 0
-                for codes in passages(whole):
-                    if not len(codes):
+            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
+            whole, words = word_codes(texts), {}
+            cut = [(doc, k * PIECE, piece) for doc, codes in enumerate(whole) for k, piece in enumerate(passages(codes)) if len(piece)]
+            best: dict[tuple[int, int], tuple] = {}
+            for one, end in in_groups([len(piece) for *_, piece in cut], PIECE):
+                pairs: dict[tuple[int, int, int], float] = {}
+                for (vectors, piece, number), (across, owner) in zip(space.passages([p for *_, p in cut[one:end]]), sides, strict=True):
+                    likeness = vectors @ across
+                    for spot in np.flatnonzero(likeness >= cosine).tolist():
+                        row, item = spot // across.shape[1], int(owner[spot % across.shape[1]])
+                        key = one + int(piece[row]), int(number[row]), item
+                        pairs[key] = max(pairs.get(key, 0.0), float(likeness.flat[spot]))
+                for (at, window, item), near in pairs.items():
+                    doc, first, _ = cut[at]
+                    # The surroundings: an item may start before the passage or end after it.
+                    reach, place = len(items.words[item]), first + window * FINE
+                    around = slice(max(place - reach, 0), place + WINDOW + reach)
+                    if most_common(kinds_of[item], whole[doc][around]) / reach < min(LCS_SHARE, PARAPHRASE_SHARE):
                         continue
-                    pairs: dict[tuple[int, int], float] = {}
-                    for vectors, (across, owner) in zip(space.passages(codes), sides, strict=True):
-                        likeness = vectors @ across
-                        for spot in np.flatnonzero(likeness >= cosine).tolist():
-                            window, item = spot // across.shape[1], int(owner[spot % across.shape[1]])
-                            pairs[window, item] = max(pairs.get((window, item), 0.0), float(likeness.flat[spot]))
-                    for (window, item), near in pairs.items():
-                        words = words if words is not None else words_of(text)
-                        # The surroundings: an item may start before the passage or end after it.
-                        reach, place = len(items.words[item]), at + window * FINE
-                        ok, share, answer = verdict(items.words[item], items.answers[item], words[max(place - reach, 0) : place + WINDOW + reach])
-                        row = (share, near, -place, answer)
-                        if ok and row > best.get(item, (0.0,)):
-                            best[item] = row
-                    at += PIECE
-                found += [(doc, items.ids[i], -p, c, s, a) for i, (s, c, p, a) in sorted(best.items())]
+                    if doc not in words:
+                        words[doc] = words_of(texts[doc])
+                    ok, share, answer = verdict(items.words[item], items.answers[item], words[doc][around])
+                    row = (share, near, -place, answer)
+                    if ok and row > best.get((doc, item), (0.0,)):
+                        best[doc, item] = row
+            found = [(ids[doc], items.ids[i], -p, c, s, a) for (doc, i), (s, c, p, a) in sorted(best.items())]
             columns = list(zip(*found, strict=True)) or [[]] * 6
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split(" ")[0] for c in HITS.split(", ")])

@@ -325,3 +325,33 @@ def test_no_passage_is_left_out_of_the_fit(spark, monkeypatch):
     first = decontaminate.fit(idf, steps, number, [[np.array([1, 2, 3])]], fit_passages=5)
     # Each text has a word of its own in the space, however few passages the corpus counts for.
     assert all(np.abs(first.basis[decontaminate.word_codes([f"word{k}"])[0]]).max() > 0 for k in range(60))
+
+
+def test_passages_of_many_pieces_at_once():
+    rng = np.random.default_rng(4)
+    space = decontaminate.Space(rng.standard_normal((decontaminate.BUCKETS, 7)).astype(np.float32))
+    pieces = [rng.integers(0, decontaminate.BUCKETS, n).astype(np.int32) for n in (1, 12, 13, 24, 30, 36, 47, 48, 49, 60, 300)]
+    for (got, piece, number), width in zip(space.passages(pieces), (decontaminate.WINDOW, decontaminate.WINDOW // 2), strict=True):
+        want = []
+        for k, codes in enumerate(pieces):
+            last = max(-(-len(codes) // decontaminate.FINE) - width // decontaminate.FINE, 0)
+            for n in range(last + 1):
+                start = n * decontaminate.FINE
+                want.append((k, n, decontaminate.unit(space.basis[codes[start : start + width]].sum(0, keepdims=True))[0]))
+        assert [(k, n) for k, n, _ in want] == list(zip(piece.tolist(), number.tolist(), strict=True))
+        assert np.allclose(got, [v for *_, v in want], atol=1e-5)
+
+
+def test_words_in_common_bound_the_subsequence():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        item, words = ([f"w{k}" for k in rng.integers(0, 12, rng.integers(1, 30))] for _ in range(2))
+        kinds = np.unique([decontaminate.bucket(w, decontaminate.BUCKETS) for w in item], return_counts=True)
+        assert decontaminate.most_common(kinds, decontaminate.word_codes([" ".join(words)])[0]) >= decontaminate.common_length(item, words)
+    assert decontaminate.most_common(kinds, np.zeros(0, np.int32)) == 0
+
+
+def test_symbols_are_blanked_whether_few_or_many():
+    text = "a—b“c”d" + "".join(f"x{chr(k)}" for k in range(0x2190, 0x21C0))
+    assert decontaminate.without_symbols(text) == decontaminate.SYMBOLS.sub(" ", text)
+    assert decontaminate.without_symbols("é—é“x") == "é é x"
