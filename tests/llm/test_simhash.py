@@ -2,10 +2,13 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillgauge.llm import simhash
+from quillgauge.llm import neardup, simhash
 from quillgauge.llm.connected import components
 from quillgauge.llm.simhash import BKTree, fingerprint, linked, near_groups
 
@@ -109,3 +112,49 @@ def test_query_against_brute_force(spark, sf):
         assert int(rows[i]["fingerprint"], 16) == fp % (1 << 64) and len(rows[i]["fingerprint"]) == 16
         assert rows[i]["component_id"] == smallest[t]
     assert simhash.SEED == 42
+
+
+def test_near_duplicate_shards_are_bits_of_fingerprints():
+    rng = np.random.default_rng(2)
+    hashes = [np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64)) for _ in range(3)]
+    bits, bands = neardup.shape_of(100, 0.8)
+    prints = [neardup.long_simhash(h, -(-bits * bands // 64)) for h in (*hashes, hashes[0])]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2, 3, 4]), "print": pa.array(prints, pa.binary())})
+    rows = pa.Table.from_batches(list(neardup.in_shards([batch], bits, bands))).to_pylist()
+    of = {d: [r["shard"] for r in rows if r["doc_id"] == d] for d in (1, 2, 3, 4)}
+    flat = [int.from_bytes(p, "little") for p in prints]
+    want = [(band << 40) + (flat[1] >> band * bits & (1 << bits) - 1) for band in range(bands)]
+    assert of[2] == want and of[1] == of[4] and len(set(of[1]) & set(of[2])) < 3
+
+
+def test_pairs_at_the_similarity_share_a_shard():
+    assert (1 - neardup.agreement(0.8) ** 12) ** neardup.shape_of(1, 0.8)[1] <= 1e-4
+    assert neardup.shape_of(50_000_000, 0.8)[0] > 12 and neardup.agreement(1.0) == 1
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        every = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
+        one, other = (np.frombuffer(neardup.long_simhash(np.unique(np.append(every[:400], every[a:b])), 12), np.uint64) for a, b in ((400, 450), (450, 500)))
+        assert np.bitwise_count(one ^ other)[:4].sum() <= neardup.print_radius(0.8)
+
+
+@pytest.mark.parametrize("rows", [1, 7, 500])
+def test_links_of_a_shard_connect_what_is_near(monkeypatch, rows):
+    rng = np.random.default_rng(rows)
+    made = rng.integers(0, 1 << 63, (40, 4), dtype=np.uint64)
+    prints = made[rng.integers(0, 40, 600)] ^ (np.uint64(1) << rng.integers(0, 64, (600, 4), dtype=np.uint64))
+    shard = np.sort(rng.integers(0, 3, 600))
+    shard[:60] = np.sort(rng.integers(-30, -5, 60))
+    docs = rng.permutation(600)
+    table = pa.table({"shard": shard, "doc_id": docs, **{f"p{k}": prints[:, k].view(np.int64) for k in range(4)}})
+    got = pa.Table.from_batches(list(neardup.shard_links(table.to_batches(max_chunksize=rows), 9))).to_pylist()
+
+    def classes(pairs):
+        top = neardup.Classes()
+        top.up = list(range(600))
+        for a, b in pairs:
+            top.join(a, b)
+        return [top.top(k) for k in range(600)]
+
+    near = [(a, b) for a in range(600) for b in range(a) if shard[a] == shard[b] and np.bitwise_count(prints[a] ^ prints[b]).sum() <= 9]
+    assert classes([(docs[a], docs[b]) for a, b in near]) == classes([(r["a"], r["b"]) for r in got])
+    assert len(got) == 600 - len(set(classes([(r["a"], r["b"]) for r in got])))
