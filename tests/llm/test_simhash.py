@@ -158,3 +158,48 @@ def test_links_of_a_shard_connect_what_is_near(monkeypatch, rows):
     near = [(a, b) for a in range(600) for b in range(a) if shard[a] == shard[b] and np.bitwise_count(prints[a] ^ prints[b]).sum() <= 9]
     assert classes([(docs[a], docs[b]) for a, b in near]) == classes([(r["a"], r["b"]) for r in got])
     assert len(got) == 600 - len(set(classes([(r["a"], r["b"]) for r in got])))
+
+
+def test_short_pairs_at_the_similarity_are_all_found(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(2_500):
+        words = [f"w{w}" for w in rng.integers(0, 10**9, 9)]
+        rows += [(2 * k, " ".join(words[:8])), (2 * k + 1, " ".join(words))]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    for limit in (20_000, 25):
+        got = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs, shard_rows=limit).collect()}
+        assert got == {i: i - i % 2 for i, _ in rows}
+
+
+def test_least_shingles_of_a_pair_meet():
+    rng = np.random.default_rng(13)
+    for size in range(1, neardup.FEW + 1):
+        for more in range(int(size / 0.8) - size + 1):
+            every = rng.integers(0, 1 << 63, size + more, dtype=np.uint64)
+            own = rng.integers(0, more + 1)
+            one, other = np.unique(every[: size + own]), np.unique(np.append(every[:size], every[size + own :]))
+            least = [neardup.least_shingles(s, 0.8) for s in (one, other)]
+            assert len(np.intersect1d(*least)) and all(len(k) <= 0.2 * len(s) + 1 for k, s in zip(least, (one, other)))
+    assert neardup.small_radius(0.8) > neardup.print_radius(0.8) and neardup.differing(4, 0, 1) == 0.1875
+
+
+def test_shards_below_zero_take_the_wider_radius():
+    prints = np.array([[0] * 4, [(1 << 12) - 1] * 4] * 2, np.uint64)
+    table = pa.table({"shard": [-5, -5, 7, 7], "doc_id": [1, 2, 3, 4], **{f"p{k}": prints[:, k].view(np.int64) for k in range(4)}})
+    got = [pa.Table.from_batches(list(neardup.shard_links(table.to_batches(), *radii))).to_pylist() for radii in ((47,), (47, 48), (48, 48))]
+    assert got == [[], [{"a": 2, "b": 1}], [{"a": 2, "b": 1}, {"a": 4, "b": 3}]]
+
+
+def test_many_links_are_thinned_and_connect_the_same(spark):
+    from quillgauge.llm.connected import both_ways, thinned
+
+    rng = np.random.default_rng(14)
+    pairs = [(int(a), int(b)) for k in range(20) for a, b in 100 * k + rng.integers(0, 40, (600, 2))]
+    links = spark.createDataFrame(pairs, "a BIGINT, b BIGINT")
+    both = both_ways(links)
+    fewer = thinned(both)
+    assert 3 * both_ways(fewer).count() < both.count()
+    got = {r["node"]: r["label"] for r in components(links).collect()}
+    assert got == {r["node"]: r["label"] for r in components(fewer).collect()}
+    assert got == {n: n - n % 100 + min(m % 100 for p in pairs for m in p if m // 100 == n // 100) for p in pairs for n in p}
