@@ -175,7 +175,8 @@ def top_k(embeddings: DataFrame, vector: str = "embedding", id_col: str = "vec_i
     q = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns]).withColumn(
         "c_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(candidate_blocks - 1).cast("long"))))
     c = candidates.select(*[F.col(col).alias(f"c_{col}") for col in candidates.columns])
-    pairs = q.join(c, "c_block")
+    # Each query block is written once per candidate block, which Spark's estimate does not see: never broadcast, whatever it says.
+    pairs = q.hint("merge").join(c, "c_block")
     found = pairs.mapInArrow(_search(k), "query_id LONG, vec_id LONG, score LONG")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
     return (found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -188,3 +188,12 @@ def test_manifest_edges(spark):
     assert merkle.manifest(spark.createDataFrame([], MANIFEST)).count() == 0
     one = merkle.manifest(spark.createDataFrame([(5, "A", "en", "s", 1, "x")], MANIFEST)).collect()[0]
     assert one.leaf == one.subroot == one.root and one.proof_sha256 == _H("")
+
+
+def test_topk_never_broadcasts_its_copied_queries(spark, monkeypatch):
+    # A query block is small to Spark's estimate, but is written once for each candidate block.
+    monkeypatch.setattr(topk, "CANDIDATE_ROWS", 4)
+    found = topk.top_k(_frame(spark, [(i, [float(i % 7), 1.0]) for i in range(200)]))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
