@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLES = 32
-RANGE_ROWS = 4_000
+RANGE_ROWS = 1_000
 # A sample is one number: ln a in fixed point above TAG bits that tell word and t apart.
 SHIFT, SCALE, TAG = 100.0, float(1 << 32), 23
 
@@ -66,10 +66,11 @@ def with_next(docs: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
     earliest = heads.groupBy("range").agg(F.min(F.struct(F.col("doc_id"), F.col("text"))).alias("head"))
     copies = earliest.select("head.doc_id", "head.text", F.pmod(F.col("range") - 1, F.lit(number)).alias("range"))
     order = Window.partitionBy("range").orderBy("extra", F.col("doc_id").asc_nulls_first(), "text")
-    return (
-        placed.withColumn("extra", F.lit(0)).unionByName(copies.withColumn("extra", F.lit(1)))
-        .withColumn("nth", F.row_number().over(order)).withColumn("next", F.lead("text").over(order))
-    )
+    rows = placed.withColumn("extra", F.lit(0)).unionByName(copies.withColumn("extra", F.lit(1)))
+    if number > 1:
+        # As many tasks as ranges: left to itself Spark merges many ranges into a task, whose words then fill its memory.
+        rows = rows.repartition(number, "range")
+    return rows.withColumn("nth", F.row_number().over(order)).withColumn("next", F.lead("text").over(order))
 
 
 def uniform(bits: Column, shift: int, width: int) -> Column:

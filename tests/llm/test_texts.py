@@ -114,6 +114,15 @@ def test_fingerprints_of_no_rows(nothing):
     assert fingerprint.digest(nothing).collect() == []
 
 
+def test_fingerprint_tasks_hold_one_range_each(spark):
+    # A task's words fill its memory, so Spark must not merge ranges into few tasks.
+    docs = spark.range(600).selectExpr("id AS doc_id", "concat_ws(' ', id, id + 1, id + 2) AS text")
+    got = fingerprint.digest(docs, rows=20)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(range#\d+, 30\), REPARTITION_BY_NUM", plan)
+    assert got.count() == 600
+
+
 # --- leaks ------------------------------------------------------------------------------
 
 
